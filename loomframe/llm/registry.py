@@ -2,11 +2,12 @@
 
 from .decontaminate import op5_decontamination
 from .language import op1_language
+from .minhash import op3_minhash
 from .sharding import op10_sharding
 from .topk import OP4_SQL, op4_top_k
 from .toxicity import op7_toxicity
 from .url_filter import OP6_SQL, op6_url_filters
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_language, op4_top_k, op5_decontamination, op6_url_filters, op7_toxicity, op9_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op3_minhash, op4_top_k, op5_decontamination, op6_url_filters, op7_toxicity, op9_warc, op10_sharding)}
 ORACLE_SQL = {"op4_top_k": OP4_SQL, "op6_url_filters": OP6_SQL}
