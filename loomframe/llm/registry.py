@@ -3,6 +3,7 @@
 from .decontaminate import op5_decontamination
 from .language import op1_language
 from .minhash import op3_minhash
+from .pieces import op2_sentencepiece
 from .repeats import op8_suffix_dedup
 from .sharding import op10_sharding
 from .topk import OP4_SQL, op4_top_k
@@ -10,5 +11,5 @@ from .toxicity import op7_toxicity
 from .url_filter import OP6_SQL, op6_url_filters
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_minhash, op4_top_k, op5_decontamination, op6_url_filters, op7_toxicity, op8_suffix_dedup, op9_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_sentencepiece, op3_minhash, op4_top_k, op5_decontamination, op6_url_filters, op7_toxicity, op8_suffix_dedup, op9_warc, op10_sharding)}
 ORACLE_SQL = {"op4_top_k": OP4_SQL, "op6_url_filters": OP6_SQL}
