@@ -32,8 +32,8 @@ def read_done(spark: SparkSession, path: str, schema: str, key: str = "frame_pat
 
 
 def read_tagged(spark: SparkSession, paths: dict[str, str], schema: str, column: str = "split_source") -> DataFrame:
-    """JSON lines of several files, each row with its file's tag."""
-    parts = [read_lines(spark, path, schema).withColumn(column, F.lit(tag)) for path, tag in paths.items()]
+    """JSON lines of several files (tag to path), each row with its tag."""
+    parts = [read_lines(spark, path, schema).withColumn(column, F.lit(tag)) for tag, path in paths.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
