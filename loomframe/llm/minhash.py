@@ -7,8 +7,10 @@ one contiguous stretch of the second permutation.
 Documents with equal shingle sets are one node (combined before the shuffle, so thousands of copies cost nothing
 more). Nodes that share a band are candidates. In each band bucket every node is first compared with the bucket's
 smallest and largest node, a number of pairs that grows with the bucket, not its square. Verified links are joined into
-components; only nodes of one bucket that are then still in different components are compared with each other, so no
-link is lost. With BANDS bands of ROWS rows a pair at 0.8 is missed with a chance of 7 in a million, at 0.85 of 3 in a hundred million.
+components. What is left are nodes with one leader (the smallest of a bucket) that are still in different components: they
+are dealt into blocks of BLOCK nodes, and blocks are compared as matrices, without a row for each pair; only links that
+join two components come out. So no link is lost. With BANDS bands of ROWS rows a pair at 0.8 is missed with a chance of 7
+in a million, at 0.85 of 3 in a hundred million.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import materialize, mix64, run_hash, slices, split_words, table, te
 from .graph import components
 
 UNIVERSE, BANDS, ROWS, SEED = 20, 30, 5, 7
+#: Nodes and bytes of a block of one leader's group, about.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -140,35 +144,104 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(sized).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: products of incidence matrices over shingles that occur twice."""
+    both = [*x, *y]
+    of = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    values, column, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    of, column = of[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [c, c + 4096])
+        m = np.zeros((len(both), 4096), np.float32)
+        m[of[a:b], column[a:b] - c] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
+
+
+def joining_links(labels: np.ndarray, sets: list[np.ndarray], block: np.ndarray, i: int, j: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of labels that a link between block i and block j joins, a spanning forest of them."""
+    left = np.flatnonzero(block == i)
+    right = left if i == j else np.flatnonzero(block == j)
+    if not len(left) or not len(right):
+        return []
+    x, y = [sets[k] for k in left], [sets[k] for k in right]
+    n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    common = _overlaps(x, y).astype(np.int64)
+    hit = (100 * common >= percent * (n[:, None] + m[None, :] - common)) & (labels[left][:, None] != labels[right][None, :])
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (u := parent.get(v, v)) != v:
+            v = u
+        return v
+
+    out = []
+    for p, q in zip(*(k.tolist() for k in np.nonzero(hit)), strict=True):
+        a, b = find(int(labels[left[p]])), find(int(labels[right[q]]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((a, b))
+    return out
+
+
+def _links_in_groups(shared: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """shared(lo, node), label(node, label): pairs of labels joined by links between nodes with one leader."""
+    member = shared.where("node <> lo").select(F.col("lo").alias("g"), "node").distinct()
+    member = member.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sized = member.join(sets.select("node", F.length("shingles").alias("size")).distinct(), "node")
+    mixed = sized.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.sum("size").alias("bytes")).where("x <> y")
+    k = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = member.join(mixed.select("g", k.alias("k")), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = dealt.select("g", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block")
+    dealt = dealt.join(sets, "node").select("g", "i", "j", "label", "block", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> list[tuple[int, int]]:
+            if key is None or len(rows) < 2:
+                return []
+            labels, block, sets_ = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows]
+            return joining_links(labels, sets_, block, key[1], key[2], percent)
+
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            for g, i, j, lab, block, data in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if (g, i, j) != key:
+                    out += done()
+                    key, rows = (g, i, j), []
+                rows.append((lab, block, data))
+        out += done()
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs(doc_id, text): doc_id, n_shingles, component_id, kept for each row.
 
-    Rows that share a doc_id are one document of the graph. Texts without words are linked with nothing; rows without
+    An id given twice with different texts has each text's component. Texts without words are linked with nothing; rows without
     doc_id are not linked, have no component and are kept.
     """
     sig = materialize(signatures(docs, width, bands, rows), "signatures")
     nodes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
-    member = nodes.select("node", "n", F.explode("bands").alias("h"))
+    member = nodes.select("node", F.explode("bands").alias("h"))
     ends = member.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = materialize(member.join(ends, "h"), "buckets")
+    shared = materialize(member.join(ends, "h").select("node", "lo", "hi").distinct(), "shared")
     tried = shared.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("node").alias("b")).where("a <> b")
-    tried = materialize(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sets = materialize(_sets(docs, shared.select("node").distinct(), width), "sets")
-    links = materialize(_verify(tried, sets, percent), "links")
-    label = components(links)
-    # what is left: nodes of one bucket in different components that were not compared yet
-    named = shared.select("h", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    left = materialize(named.join(mixed, "h", "left_semi"), "mixed")
-    p, q = left.alias("p"), left.alias("q")
-    sized = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
-    rest = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.label") != F.col("q.label")) & sized).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    more = materialize(_verify(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
-    if more.limit(1).count():
-        label = components(links.union(more))
-    named = nodes.select("fa", "fb", "n", "node").join(label, "node", "left").select("fa", "fb", "n", F.coalesce("label", "node").alias("component_id"))
-    # documents that share an id may have other sets: the smallest label of any of them
+    label = components(_verify(tried, sets, percent))
+    more = components(_links_in_groups(shared, label, sets, percent)).select(F.col("node").alias("label"), F.col("label").alias("last"))
+    named = nodes.select("fa", "fb", "n", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.join(more, "label", "left").select("fa", "fb", "n", F.coalesce("last", "label").alias("component_id"))
     out = sig.select("doc_id", "n", "fa", "fb").join(named, ["fa", "fb", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
