@@ -8,25 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.sequences import IGNORE, attention_mask, pad
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "ord", rows_per_bucket: int = 100_000) -> DataFrame:
-    """rows plus their place in the order, from 0, without sorting the table in one task.
+def numbered(rows: DataFrame, order: list[str], name: str = "ord", rows_per_part: int = 1_000_000) -> DataFrame:
+    """rows plus their place in a total order, from 0: one range shuffle, no task sorts more than a range.
 
-    Rows are range-partitioned by the order; a partition's count goes before the places of later partitions. The
-    partition of a row is derived from the range sort once more for the count, so the order must be a total one.
+    A row's place is its number within its range plus the rows of earlier ranges; the ranges' counts, one row each, are
+    broadcast (a row for each rows_per_part rows). Both sides read the same shuffle.
     """
-    n = rows.count()
-    parts = max(1, -(-n // rows_per_bucket))
-    if parts == 1:
-        return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    first = order[0]
-    cuts = rows.stat.approxQuantile(first, [i / parts for i in range(1, parts)], 0.001)
-    # the bucket is a function of the value, so counts and ranks agree whatever the physical layout
-    bucket = sum((F.when(F.col(first) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    keyed = rows.withColumn("_b", bucket)
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    return keyed.withColumn("_r", rank).join(F.broadcast(before.select("_b", "_before")), "_b").withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_before")
+    parts = max(1, -(-rows.count() // rows_per_part))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    counts = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("_p", before.alias("_before"))
+    placed = ranged.withColumn("_p", part).join(F.broadcast(before), "_p")
+    return placed.withColumn(name, F.col("_id") - F.shiftleft("_p", 33) + F.col("_before")).select(*rows.columns, name)
 
 
 def with_batch(rows: DataFrame, size: int, ord_: str = "ord", name: str = "batch_id") -> DataFrame:
@@ -46,7 +41,8 @@ def collated(rows: DataFrame, batch: str, order: str) -> DataFrame:
     """One row a batch: rectangular arrays of arrays, in order (a batch is of bounded size)."""
     parts = F.array_sort(F.collect_list(F.struct(order, "input_ids", "labels", "attention_mask")))
     g = rows.groupBy(batch).agg(parts.alias("p"))
-    return g.select(batch, *[F.transform("p", lambda r, c=c: r[c]).alias(c) for c in ("input_ids", "labels", "attention_mask")])
+    column = lambda c: F.transform("p", lambda r: r[c]).alias(c)
+    return g.select(batch, *[column(c) for c in ("input_ids", "labels", "attention_mask")])
 
 
 def length_groups(rows: DataFrame, key: str, length: str, mega: int, seed: str = "42") -> DataFrame:

@@ -75,7 +75,7 @@ def test_padding_and_collation(spark):
 
 def test_numbered_in_buckets(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
-    got = batches.numbered(df, ["x"], rows_per_bucket=90).collect()
+    got = batches.numbered(df, ["x"], rows_per_part=90).collect()
     assert all(r["x"] == r["ord"] for r in got) and len(got) == 1000
 
 
