@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,7 +87,7 @@ class Features:
         n, size = max(1, len(words)), max(1, len(text))
         hits = [i for i, w in enumerate(words) if w in INSULTS]
         you = [i for i, w in enumerate(words) if w in YOU]
-        near = sum(any(abs(i - j) <= 5 for j in you) for i in hits) if hits and you and len(hits) * len(you) < 1_000_000 else 0.0
+        near = sum(bisect_left(you, i - 5) < bisect_right(you, i + 5) for i in hits)
         odd = [w for w in words if not w.isalpha()]
         undone = sum(undo(w) in INSULTS for w in odd if _ODD.search(w) or _JOIN.search(w))
         odds = [self.odds(w) for w in words]
