@@ -121,7 +121,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 sets, cut = shingle_sets(part.column(1), width)
                 yield pa.RecordBatch.from_pydict({"node": part.column(0), "shingles": pa.array([sets[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+    # the candidates grow with the corpus: never broadcast, at any size
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,4 +257,4 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the smallest doc_id stays (five words, 0.8)."""
     gone = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
