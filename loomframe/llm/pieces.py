@@ -6,22 +6,20 @@ encoded on their own. Distinct words are the lattice's unit:
 
 - explode the substrings of up to the longest piece's length, and join them to the piece table (a vocabulary, so of
   bounded size; broadcast): the edges of the lattice;
-- group the edges by word, and fold over them with `aggregate`: Viterbi for unigram models, the best piece sum; for
-  merge models (BPE) the library's rule, merge the pair whose piece scores best, leftmost first, on a bit mask of
-  the word's boundaries. Scores of a BPE model are merge ranks, not log likelihoods; their best sum is not what the
-  library returns, so the fold follows the model's kind.
-
-Characters outside the vocabulary become byte pieces. Words longer than a mask's bits are merged by a heap.
-
-Encoded words go back to the texts by blocks of BLOCK_ROWS rows of a file: a block's words and its texts (packed,
-compressed) meet in one task as a stream, words first; the corpus's whole dictionary is never in one place.
+- group the edges by word (they come out of the word's own partition: no further shuffle), and fold over them with
+  `aggregate`: Viterbi for unigram models, the best piece sum; for merge models (BPE) the library's rule, merge the
+  pair whose piece scores best, leftmost first, on a bit mask of the word's boundaries. Scores of a BPE model are merge
+  ranks, not log likelihoods; their best sum is not what the library returns, so the fold follows the model's kind.
+
+Encoded words go back to the texts by blocks of BLOCK_ROWS rows of a file: a block's words and its texts (both packed
+and compressed) meet in one task as a stream, words first; the corpus's whole dictionary is never in one place. There
+characters outside the vocabulary become byte pieces, and words longer than a mask's bits are merged by a heap.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,21 +94,31 @@ class Cutter:
         first[1:-1] = ~self.near[c[:-1], c[1:]]
         first[ends] = True
         start = np.flatnonzero(first)
-        with np.errstate(over="ignore"):
-            p = _powers(BASE1, n + 1)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(mix64(u.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-            a, b = start[:-1], start[1:]
-            h = mix64((total[b] - total[a]) * p[n - a] * _inverse_power(BASE1, n) + (b - a).astype(np.uint64))
-        return joined, start, np.searchsorted(ends, start[:-1], side="right"), h
+        return joined, start, np.searchsorted(ends, start[:-1], side="right"), _hashes(u, start)
+
+
+def _hashes(u: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the code points between neighbouring starts."""
+    n = len(u)
+    with np.errstate(over="ignore"):
+        p = _powers(BASE1, n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix64(u.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
+        a, b = start[:-1], start[1:]
+        return mix64((total[b] - total[a]) * p[n - a] * _inverse_power(BASE1, n) + (b - a).astype(np.uint64))
+
+
+def word_hash(words: list[str]) -> np.ndarray:
+    u = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    return _hashes(u, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64))
 
 
 def _words(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """docs(text, block): (block, hash, word), the distinct words of each block, once a task."""
-    held = docs.sparkSession.sparkContext.broadcast(pieces.classes())
+    """docs(text, block): (block, word), the distinct words of each block that the lattice encodes, once a task."""
+    held = docs.sparkSession.sparkContext.broadcast((pieces.classes(), {p for p, _, _ in pieces.rows if len(p) == 1}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(held.value)
+        cutter, single = Cutter(held.value[0]), held.value[1]
         seen: dict[int, set[int]] = {}
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
@@ -122,29 +130,42 @@ def _words(docs: DataFrame, pieces: Pieces) -> DataFrame:
                     own = np.flatnonzero(blocks[row] == block)
                     u, at = np.unique(h[own], return_index=True)
                     known = seen[block]
-                    new = [(x, own[i]) for x, i in zip(u.tolist(), at, strict=True) if x not in known]
-                    known.update(x for x, _ in new)
-                    yield pa.RecordBatch.from_pydict({"block": np.full(len(new), block), "hash": np.array([x for x, _ in new], np.uint64).view(np.int64), "word": pa.array([joined[start[i] : start[i + 1]] for _, i in new], pa.string())})
+                    new = [i for x, i in zip(u.tolist(), own[at].tolist(), strict=True) if x not in known]
+                    known.update(u.tolist())
+                    words = [joined[start[i] : start[i + 1]] for i in new]
+                    words = [w for w in words if (len(w) > 1 or w in single) and len(w) <= MASK_CHARS]
+                    yield pa.RecordBatch.from_pydict({"block": np.full(len(words), block), "word": pa.array(words, pa.string())})
+
+    return docs.select("text", "block").mapInArrow(run, "block long, word string")
 
-    return docs.select("text", "block").mapInArrow(run, "block long, hash long, word string")
+
+#: An edge as one number, the best merge the largest: rank, then the smaller start; 30, 6, 6 and 21 bits.
+_RANK, _START, _SIZE = 33, 27, 21
 
 
 def _merge_fold(edges: Column, n: Column) -> Column:
-    """The pieces that the merge rule leaves: edges(start, id, score, inner, ends) of a word with n characters.
+    """The pieces that the merge rule leaves: edges, packed numbers, of a word with n characters.
 
     Bit i of the state is a boundary before character i. An edge is a merge of two neighbours if both its ends are
     boundaries and just one lies inside.
     """
+    start = lambda v: (F.lit(63) - F.shiftright(v, _START).bitwiseAND(63)).cast("int")
+    size = lambda v: F.shiftright(v, _SIZE).bitwiseAND(63).cast("int")
+    one = F.lit(1).cast("long")
+    inner = lambda v: F.call_function("shiftleft", F.call_function("shiftleft", one, size(v) - 1) - one, start(v) + 1)
+    ends = lambda v: F.call_function("shiftleft", one, start(v)).bitwiseOR(F.call_function("shiftleft", one, start(v) + size(v)))
+    known = F.transform(edges, lambda v: F.struct(v.alias("v"), inner(v).alias("inner"), ends(v).alias("ends")))
 
     def step(state: Column, _: Column) -> Column:
-        open_ = F.filter(edges, lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1))
-        best = F.array_max(F.transform(open_, lambda e: F.struct(e["score"].alias("s"), (-e["start"]).alias("p"), e["inner"].alias("inner"))))
-        return F.coalesce(state.bitwiseAND(F.bitwise_not(best["inner"])), state)
+        open_ = F.filter(state["edges"], lambda e: (state["b"].bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state["b"].bitwiseAND(e["inner"])) == 1))
+        best = F.array_max(open_)
+        return F.struct(F.coalesce(state["b"].bitwiseAND(F.bitwise_not(best["inner"])), state["b"]).alias("b"), state["edges"].alias("edges"))
 
-    all_ = F.expr("shiftleft(1L, cast(n + 1 as int)) - 1L")
-    state = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), all_, step)
-    kept = F.transform(F.array(state), lambda b: F.filter(edges, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (b.bitwiseAND(e["inner"]) == 0)))[0]
-    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), lambda e: e["id"])
+    all_ = F.call_function("shiftleft", one, (n + 1).cast("int")) - one
+    final = F.aggregate(F.sequence(F.lit(1), n), F.struct(all_.alias("b"), known.alias("edges")), step)
+    kept = F.transform(F.array(final), lambda s: F.filter(s["edges"], lambda e: (s["b"].bitwiseAND(e["ends"]) == e["ends"]) & (s["b"].bitwiseAND(e["inner"]) == 0)))[0]
+    placed = F.array_sort(F.transform(kept, lambda e: F.struct(start(e["v"]).alias("start"), e["v"].bitwiseAND((1 << _SIZE) - 1).cast("int").alias("id"))))
+    return F.transform(placed, lambda e: e["id"])
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
@@ -157,7 +178,27 @@ def _viterbi_fold(edges: Column, n: Column) -> Column:
         return F.concat(state, F.array(best))
 
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.expr("cast(array() as array<int>)").alias("ids")))
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), first, step), -1)["ids"]
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["ids"]
+
+
+def encode_words(words: DataFrame, pieces: Pieces, carry: str) -> DataFrame:
+    """words(word, carry), distinct, of up to MASK_CHARS characters: (word, carry, ids)."""
+    spark = words.sparkSession
+    order = {s: k for k, s in enumerate(sorted({s for _, _, s in pieces.rows}))}  # the best score has the highest rank
+    rows = [(p, i, s, order[s]) for p, i, s in pieces.rows]
+    piece_table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank long"))
+    starts = words.select("word", carry, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    sizes = starts.select("word", carry, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start")))).alias("size"))
+    subs = sizes.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
+    edges = subs.join(piece_table, "piece")
+    if pieces.kind == "merge":
+        long = lambda c, k: F.shiftleft(F.col(c).cast("long"), k)
+        edge = long("rank", _RANK).bitwiseOR(F.shiftleft((F.lit(63) - F.col("start")).cast("long"), _START)).bitwiseOR(long("size", _SIZE)).bitwiseOR(F.col("id").cast("long"))
+    else:
+        edge = F.struct("start", "size", "id", "score")
+    lattice = edges.groupBy("word").agg(F.first(carry).alias(carry), F.collect_list(edge).alias("edges"))
+    fold = _merge_fold if pieces.kind == "merge" else _viterbi_fold
+    return lattice.select("word", carry, fold(F.col("edges"), F.length("word")).alias("ids"))
 
 
 def merge_word(word: str, score: dict[str, tuple[float, int]]) -> list[tuple[str, int | None]]:
@@ -187,42 +228,6 @@ def merge_word(word: str, score: dict[str, tuple[float, int]]) -> list[tuple[str
     return [(p, score[p][1] if p in score else None) for p in part if p is not None]
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(hash, word), distinct and partitioned by hash: (hash, ids)."""
-    spark = words.sparkSession
-    piece_table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))
-    sized = words.withColumn("n", F.length("word"))
-    short = sized.where(F.col("n") <= MASK_CHARS)
-    starts = short.select("hash", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    subs = starts.select("hash", "n", "start", F.explode(F.expr(f"transform(sequence(1, least({pieces.longest}, n - start)), k -> struct(k as size, substring(word, start + 1, k) as piece))")).alias("s"))
-    edges = subs.select("hash", "n", "start", "s.size", "s.piece").join(piece_table, "piece")
-    inner = F.expr("shiftleft(shiftleft(1L, size - 1) - 1L, start + 1)")
-    ends = F.expr("shiftleft(1L, start) | shiftleft(1L, start + size)")
-    edge = F.struct("start", "size", "id", "score", inner.alias("inner"), ends.alias("ends"))
-    lattice = edges.groupBy("hash", "n").agg(F.collect_list(edge).alias("edges"))
-    fold = _merge_fold if pieces.kind == "merge" else _viterbi_fold
-    out = lattice.select("hash", fold(F.col("edges"), F.col("n")).alias("ids"))
-    # a character outside the table stands alone: no cut leaves it beside another
-    alone = short.where("n = 1").join(piece_table, short["word"] == F.col("piece"), "left_anti")
-    if pieces.byte_ids:
-        hexed = F.hex(F.encode("word", "utf-8"))
-        bytes_ = F.lit(pieces.byte_ids)
-        ids = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.element_at(bytes_, F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int") + 1))
-    else:
-        ids = F.array(F.lit(pieces.unknown))
-    out = out.union(alone.select("hash", ids.alias("ids")))
-    held = spark.sparkContext.broadcast((pieces.rows, pieces.kind, pieces.longest))
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, kind, longest = held.value
-        score = {p: (s, i) for p, i, s in rows}
-        for batch in batches:
-            encoded = [best_path(w, score, longest) if kind == "viterbi" else [i for _, i in merge_word(w, score)] for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoded, pa.list_(pa.int32()))], names=["hash", "ids"])
-
-    return out.union(sized.where(F.col("n") > MASK_CHARS).select("hash", "word").mapInArrow(long, "hash long, ids array<int>"))
-
-
 def best_path(word: str, score: dict[str, tuple[float, int]], longest: int) -> list[int]:
     """Viterbi for one word: the path with the best sum, of equal ones the last in order of ids."""
     best: list[tuple[float, list[int]] | None] = [(0.0, [])]
@@ -232,11 +237,44 @@ def best_path(word: str, score: dict[str, tuple[float, int]], longest: int) -> l
     return best[-1][1] if best[-1] else []
 
 
+def _entries(coded: DataFrame) -> DataFrame:
+    """coded(word, blocks, ids): (block, blob), the words of each block by hash with their ids, compressed; many words a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = word_hash(batch.column(0).to_pylist())
+            blocks, ids = batch.column(1), batch.column(2)
+            per = np.diff(blocks.offsets.to_numpy())
+            word, block = np.repeat(np.arange(len(per)), per), blocks.flatten().to_numpy()
+            n = np.diff(ids.offsets.to_numpy())
+            first, flat = np.cumsum(n) - n, ids.flatten().to_numpy()
+            order = np.argsort(block, kind="stable")
+            word, block = word[order], block[order]
+            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            for a, b in zip(cut, [*cut[1:], len(block)], strict=True):
+                w = word[a:b]
+                m = n[w]
+                at = np.repeat(first[w] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                blob = np.array([len(w)], np.int64).tobytes() + h[w].tobytes() + m.astype(np.uint8).tobytes() + flat[at].astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_pydict({"block": pa.array([int(block[a])], pa.int64()), "blob": pa.array([z.compress(blob)], pa.binary())})
+
+    return coded.select("word", "blocks", "ids").mapInArrow(run, "block long, blob binary")
+
+
+def _read_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    h = np.frombuffer(blob, np.uint64, n, 8)
+    return h, np.frombuffer(blob, np.uint8, n, 8 + 8 * n).astype(np.int64), np.frombuffer(blob, np.int32, -1, 8 + 9 * n)
+
+
 def _packs(docs: DataFrame, keep: list[str]) -> DataFrame:
     """docs(text, block, keep...): (block, blob), runs of rows of a block as compressed Arrow streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 blocks = part.column(1).to_numpy()
@@ -283,17 +321,16 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
     except AnalysisException:  # not a scan of files: make it one
         docs = materialize(docs.select("text", *keep), "texts")
         blocked = docs.select("text", *keep, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block"))
-    dealt = _words(blocked, pieces).repartition("hash")
-    coded = encode_words(dealt.groupBy("hash").agg(F.first("word").alias("word")), pieces)
-    entries = dealt.select("block", "hash").join(coded, "hash").select("block", F.lit(0).alias("kind"), "hash", "ids", F.lit(None).cast("binary").alias("blob"))
-    packs = _packs(blocked, keep).select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("hash"), F.lit(None).cast("array<int>").alias("ids"), "blob")
-    stream = entries.union(packs).repartition("block").sortWithinPartitions("block", "kind")
-    held = spark.sparkContext.broadcast((pieces.classes(), pieces.spellings()))
+    words = _words(blocked, pieces).groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    coded = encode_words(words, pieces, "blocks")
+    stream = _entries(coded).select("block", F.lit(0).alias("kind"), "blob").union(_packs(blocked, keep).select("block", F.lit(1).alias("kind"), "blob"))
+    stream = stream.repartition("block").sortWithinPartitions("block", "kind")
+    held = spark.sparkContext.broadcast((pieces.classes(), pieces.spellings(), pieces))
     schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL("n_tokens long, ids array<int>, decoded boolean")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, spelling = held.value
-        cutter, speller, z = Cutter(classes), Speller(spelling), zstandard.ZstdDecompressor()
+        classes, spelling, pieces = held.value
+        cutter, speller, z, rest = Cutter(classes), Speller(spelling), zstandard.ZstdDecompressor(), Rest(pieces)
         block, got, words = None, [], None
         for batch in batches:
             blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -305,16 +342,15 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
                     block, got, words = blocks[a], [], None
                 part = batch.slice(a, b - a)
                 if kinds[a] == 0:
-                    ids = part.column(3)
-                    got.append((part.column(2).to_numpy(), np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()))
+                    got += [_read_entries(z.decompress(x.as_py())) for x in part.column(2)]
                     continue
                 if words is None:
                     words, got = Dictionary(got), []
-                for blob in part.column(4):
+                for blob in part.column(2):
                     rows = pa.ipc.open_stream(z.decompress(blob.as_py())).read_all().combine_chunks()
                     texts = rows.column("text").to_pylist()
-                    joined, _, row, h = cutter(texts)
-                    count, ids = words(h)
+                    joined, start, row, h = cutter(texts)
+                    count, ids = words(h, lambda i, joined=joined, start=start: rest(joined[start[i] : start[i + 1]]))
                     per = np.bincount(row, count, len(texts)).astype(np.int64) if len(row) else np.zeros(len(texts), np.int64)
                     offsets = np.concatenate([[0], np.cumsum(per)])
                     whole = speller(ids).tobytes() == joined.encode()
@@ -325,27 +361,55 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
     return stream.mapInArrow(run, schema)
 
 
+class Rest:
+    """Ids of words that are not in the lattice: characters outside the table, and words longer than a mask's bits."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.score = pieces, {p: (s, i) for p, i, s in pieces.rows}
+
+    def __call__(self, word: str) -> list[int]:
+        p = self.pieces
+        if len(word) == 1 and word not in self.score:
+            return [p.byte_ids[b] for b in word.encode()] if p.byte_ids else [p.unknown]
+        if len(word) <= MASK_CHARS:
+            raise ValueError("a word of the block is missing from its dictionary")
+        return best_path(word, self.score, p.longest) if p.kind == "viterbi" else [i for _, i in merge_word(word, self.score)]
+
+
 class Dictionary:
     """A block's words by hash, and their ids."""
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        h = np.concatenate([p[0] for p in parts]).view(np.uint64) if parts else np.zeros(0, np.uint64)
-        self.size = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        self.ids = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int32)
-        start = np.cumsum(self.size) - self.size
+        h = np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in parts]])
+        size = np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
+        self.ids = np.concatenate([np.zeros(0, np.int32), *[p[2] for p in parts]])
+        start = np.cumsum(size) - size
         order = np.argsort(h, kind="stable")
-        self.hash, self.start, self.size = h[order], start[order], self.size[order]
+        self.hash, self.start, self.size = h[order], start[order], size[order]
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of each word, all ids in order)."""
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hash):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return at, self.hash[at] == h
+
+    def __call__(self, h: np.ndarray, spell: Callable[[int], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids in order); spell(i) gives those of a word that is not listed."""
         if not len(h):
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        if not (self.hash[at] == h).all():
-            raise ValueError("a word of the block is missing from its dictionary")
+        at, known = self._find(h)
+        if not known.all():
+            u, first = np.unique(h[~known], return_index=True)
+            own = [spell(int(i)) for i in np.flatnonzero(~known)[first]]
+            self.__init__([(self.hash, self.size, self._flat()), (u, np.array([len(x) for x in own]), np.array([i for x in own for i in x], np.int32))])
+            at, known = self._find(h)
         n = self.size[at]
         return n, self.ids[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
+    def _flat(self) -> np.ndarray:
+        """All ids in the order of the hashes."""
+        return self.ids[np.repeat(self.start - (np.cumsum(self.size) - self.size), self.size) + np.arange(int(self.size.sum()))]
+
 
 def decode(coded: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
     """coded(ids, keep...): keep... and text. Null ids are a null text."""
