@@ -68,6 +68,13 @@ class Pieces:
             near[number[a], number[b]] = True
         return of, near
 
+    def singles(self) -> frozenset[str]:
+        return frozenset(p for p, _, _ in self.rows if len(p) == 1)
+
+    def bound(self) -> frozenset[str]:
+        """Characters that occur in longer pieces only."""
+        return frozenset(c for p, _, _ in self.rows for c in p) - self.singles()
+
     def spellings(self) -> dict[int, bytes]:
         out = {i: p.encode() for p, i, _ in self.rows}
         return out | {i: bytes([b]) for b, i in enumerate(self.byte_ids or [])}
@@ -113,12 +120,17 @@ def word_hash(words: list[str]) -> np.ndarray:
     return _hashes(u, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64))
 
 
+def in_lattice(word: str, single: frozenset[str], bound: frozenset[str]) -> bool:
+    """Whether the lattice covers a word: short enough for a mask, and every character a piece."""
+    return len(word) <= MASK_CHARS and (len(word) > 1 or word in single) and (not bound or bound.isdisjoint(word))
+
+
 def _words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """docs(text, block): (block, word), the distinct words of each block that the lattice encodes, once a task."""
-    held = docs.sparkSession.sparkContext.broadcast((pieces.classes(), {p for p, _, _ in pieces.rows if len(p) == 1}))
+    held = docs.sparkSession.sparkContext.broadcast((pieces.classes(), pieces.singles(), pieces.bound()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, single = Cutter(held.value[0]), held.value[1]
+        cutter, (_, single, bound) = Cutter(held.value[0]), held.value
         seen: dict[int, set[int]] = {}
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
@@ -133,7 +145,7 @@ def _words(docs: DataFrame, pieces: Pieces) -> DataFrame:
                     new = [i for x, i in zip(u.tolist(), own[at].tolist(), strict=True) if x not in known]
                     known.update(u.tolist())
                     words = [joined[start[i] : start[i + 1]] for i in new]
-                    words = [w for w in words if (len(w) > 1 or w in single) and len(w) <= MASK_CHARS]
+                    words = [w for w in words if in_lattice(w, single, bound)]
                     yield pa.RecordBatch.from_pydict({"block": np.full(len(words), block), "word": pa.array(words, pa.string())})
 
     return docs.select("text", "block").mapInArrow(run, "block long, word string")
@@ -362,18 +374,22 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
 
 
 class Rest:
-    """Ids of words that are not in the lattice: characters outside the table, and words longer than a mask's bits."""
+    """Ids of words that are not in the lattice."""
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.score = pieces, {p: (s, i) for p, i, s in pieces.rows}
+        self.single, self.bound = pieces.singles(), pieces.bound()
 
-    def __call__(self, word: str) -> list[int]:
+    def _outside(self, c: str) -> list[int]:
         p = self.pieces
-        if len(word) == 1 and word not in self.score:
-            return [p.byte_ids[b] for b in word.encode()] if p.byte_ids else [p.unknown]
-        if len(word) <= MASK_CHARS:
+        return [p.byte_ids[b] for b in c.encode()] if p.byte_ids else [p.unknown]
+
+    def __call__(self, word: str) -> list[int]:
+        if in_lattice(word, self.single, self.bound):
             raise ValueError("a word of the block is missing from its dictionary")
-        return best_path(word, self.score, p.longest) if p.kind == "viterbi" else [i for _, i in merge_word(word, self.score)]
+        if self.pieces.kind == "viterbi" and (path := best_path(word, self.score, self.pieces.longest)):
+            return path
+        return [x for p, i in merge_word(word, self.score) for x in ([i] if i is not None else self._outside(p))]
 
 
 class Dictionary:

@@ -264,3 +264,11 @@ def test_viterbi_for_unigram_models(spark):
         w = "▁" + t.replace(" ", "▁")
         assert "".join(rows[i][0] for i in got[k]) == w
         assert abs(total(got[k]) - total(best_path(w, score, pieces.longest))) < 1e-9
+
+
+def test_characters_that_are_no_piece_alone(spark):
+    """b and the space occur in longer pieces only: what no merge takes up is unknown."""
+    pieces = Pieces([("a", 1, -9.0), ("ab", 2, -1.0), ("▁a", 3, -2.0)], None, 0, "merge")
+    texts = ["ab", "b", "a b", "", "aab", "é"]
+    got = {r["k"]: r["ids"] for r in encode(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), pieces, ["k"]).collect()}
+    assert [got[k] for k in range(6)] == [[0, 2], [0, 0], [3, 0, 0], [], [3, 2], [0, 0]]
