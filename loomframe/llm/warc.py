@@ -161,3 +161,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(with_revisits(table(spark, sf_dir, "pages")), path)
     return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+#: 160 bits are eight groups of five hexadecimal digits, each four base32 digits.
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, g * 5 + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT + 1, 1) for j in range(4)], '') for g in range(8)], '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to, TRUE AS digest_ok
+FROM d
+"""
