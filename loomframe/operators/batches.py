@@ -24,6 +24,13 @@ def numbered(rows: DataFrame, order: list[str], name: str = "ord", rows_per_part
     return placed.withColumn(name, F.col("_id") - F.shiftleft("_p", 33) + F.col("_before")).select(*rows.columns, name)
 
 
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
+    """rows plus their place in the order within their group, from 1; a large group is spread over ranges like any other rows."""
+    placed = numbered(rows, [group, *order], "_ord")
+    first = placed.groupBy(group).agg(F.min("_ord").alias("_first"))
+    return placed.join(first, group).withColumn(name, F.col("_ord") - F.col("_first") + 1).select(*rows.columns, name)
+
+
 def with_batch(rows: DataFrame, size: int, ord_: str = "ord", name: str = "batch_id") -> DataFrame:
     """The batch of each place; the last one may be short."""
     return rows.withColumn(name, F.floor(F.col(ord_) / size).cast("long"))

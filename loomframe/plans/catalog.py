@@ -272,9 +272,8 @@ def batch_sweep_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT event_type, place, sum(hit::INT) OVER (PARTITION BY event_type ORDER BY place) AS hits FROM e)
 SELECT event_type, place, hits::BIGINT AS hits, hits / place AS accuracy FROM r WHERE place % 25 = 0""")
 def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = read(spark, sf_dir, "events").select("event_type", (F.col("value") > 50).alias("hit"), F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long").alias("place"))
+    e = read(spark, sf_dir, "events").select("event_type", "ts", "event_id", (F.col("value") > 50).alias("hit"))
+    e = batches.numbered_within(e, "event_type", ["ts", "event_id"])
     return metrics.running_accuracy(e, "hit", "place", 25, "event_type")
 
 

@@ -100,3 +100,11 @@ def test_features_of_text_rows(spark):
     assert spark.range(1).select(Q.zero_features(2, 3).alias("z")).first()["z"] == [[0.0] * 3] * 2
     assert one(spark, "array<array<float>>", [[1.0], [2.0]], lambda c: Q.first_rows(c, 1)) == [[1.0]]
     assert one(spark, "array<long>", [-200, 5], Q.embeddable) == [0, 5]
+
+
+def test_places_within_groups(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), (-F.col("id")).alias("o"))
+    got = batches.numbered_within(df, "g", ["o"]).collect()
+    for g in range(3):
+        rows = sorted((r for r in got if r["g"] == g), key=lambda r: r["o"])
+        assert [r["place"] for r in rows] == list(range(1, len(rows) + 1))
