@@ -33,6 +33,8 @@ from .common import BASE1, _inverse_power, _powers, materialize, mix64, slices,
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_ROWS, MASK_CHARS = 16384, 48
+#: Bytes that go to a Python worker at once; held by the JVM and the worker of each task.
+ARROW_BYTES = 4 << 20
 SPACE = "▁"
 
 
@@ -133,7 +135,7 @@ def _words(docs: DataFrame, pieces: Pieces) -> DataFrame:
         cutter, (_, single, bound) = Cutter(held.value[0]), held.value
         seen: dict[int, set[int]] = {}
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 blocks = part.column(1).to_numpy()
                 joined, start, row, h = cutter(part.column(0).to_pylist())
                 for block in np.unique(blocks):
@@ -328,6 +330,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
     Null and empty texts have no ids. A text that holds U+2581 itself comes back with a space in its place.
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     try:
         blocked = docs.select("text", *keep, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block"))
     except AnalysisException:  # not a scan of files: make it one
