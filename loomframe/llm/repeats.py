@@ -11,6 +11,9 @@
 3. An anchor with more than HOT contexts is not gathered in one task: hashes of all its windows are counted instead,
    combined before the shuffle. No case is dropped; the results are the same.
 4. The repeated windows of a context are brought to each of its occurrences, and merged by document.
+
+The pipeline's stage also takes windows counted in words: WORDS words in a row with what stands between them. Their grams
+are WORD_GRAM words; the suffixes that are sorted are those of the words of an anchor's contexts.
 """
 
 from __future__ import annotations
@@ -24,14 +27,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, mix64, run_hash, slices, table, text_bytes
+from .common import materialize, mix64, run_hash, slices, split_words, table, text_bytes
 from .suffix import suffix_order
 
 WIDTH, GRAM, CELL = 400, 32, 16
+#: The pipeline's shortest repeated passage, in words between white space; words of a gram.
+WORDS, WORD_GRAM = 51, 6
 #: Contexts of an anchor that one task sorts at most; bytes that are sorted together, about; bytes of a text
 #: that are searched for anchors at once.
 HOT, CHUNK, SEGMENT = 8192, 1 << 20, 4 << 20
 
+_SPACED = np.ones(256, bool)
+_SPACED[[32, *range(9, 14)]] = False
+
+
+def _anchors(h: np.ndarray, p: np.ndarray, w: int) -> np.ndarray:
+    """For the windows of w grams that start at p: the place of the rightmost gram with the smallest hash."""
+    m = len(h)
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(m).astype(np.uint64))
+    full = np.full(-(-m // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+    full[:m] = key
+    blocks = full.reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.uint64(0xFFFFFFFF) - (np.minimum(back[p], ahead[p + w - 1]) & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
 
 def contexts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
     """(row, first window, last window, anchor place, anchor hash, context hash) of each context; places in data."""
@@ -43,17 +63,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     m = len(data) - GRAM + 1
     at = np.arange(m)
     h = run_hash(data, at, at + GRAM)
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
-    w = width - GRAM + 1
-    full = np.full(-(-m // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    full[:m] = key
-    blocks = full.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     n = size[rows] - width + 1
     p = np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     of = np.repeat(rows, n)
-    anchor = (np.uint64(0xFFFFFFFF) - (np.minimum(back[p], ahead[p + w - 1]) & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    anchor = _anchors(h, p, width - GRAM + 1)
     new = np.ones(len(p), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])
     first = np.flatnonzero(new)
@@ -62,7 +75,74 @@ def contexts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     return of[first], p[first], p[last], c, h[c].view(np.int64), run_hash(data, p[first], p[last] + width).view(np.int64)
 
 
-def _instances(docs: DataFrame, width: int) -> DataFrame:
+def word_contexts(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """The same for windows of words, given the words' starts, ends and rows: (row, first byte, byte after the last, anchor place, anchor hash, context hash)."""
+    p = np.flatnonzero(row[: max(0, len(row) - words + 1)] == row[words - 1 :])
+    if not len(p):
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    h = run_hash(data, start[: len(start) - WORD_GRAM + 1], end[WORD_GRAM - 1 :])
+    anchor = _anchors(h, p, words - WORD_GRAM + 1)
+    new = np.ones(len(p), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (row[p][1:] != row[p][:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(p)) - 1
+    a, b, c = start[p[first]], end[p[last] + words - 1], anchor[first]
+    return row[p[first]], a, b, start[c], h[c].view(np.int64), run_hash(data, a, b).view(np.int64)
+
+
+class Bytes:
+    """Windows of `width` bytes."""
+
+    def __init__(self, width: int):
+        if width % CELL or width < 2 * GRAM:
+            raise ValueError(f"width must be a multiple of {CELL}, at least {2 * GRAM}")
+        self.width = self.least = width
+
+    def contexts(self, data: np.ndarray, offsets: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, first byte in the row, length, lead, anchor hash, context hash) of each context."""
+        # a very long text goes in pieces that overlap by all but one byte of a window: each window is in one piece
+        one = len(offsets) == 2
+        for a in range(0, max(1, len(data)), segment) if one else [0]:
+            piece = data[a : a + segment + self.width - 1] if one else data
+            ends = np.array([0, len(piece)]) if one else offsets
+            row, p0, p1, c, anchor, ctx = contexts(piece, ends, self.width)
+            yield row, p0 - ends[row] + a, p1 - p0 + self.width, c - p0, anchor, ctx
+
+    def every(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of each window."""
+        p = np.arange(len(data) - self.width + 1)
+        return p, p + self.width
+
+    def repeated(self, texts: list[bytes], leads: list[int]) -> list[list[dict]]:
+        return [_ranges(p, p + self.width) for p in repeated_windows(texts, leads, self.width)]
+
+
+class Words:
+    """Windows of `words` words."""
+
+    def __init__(self, words: int):
+        self.words, self.least = words, 2 * words - 1
+
+    def contexts(self, data: np.ndarray, offsets: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, ...]]:
+        start, end, row = split_words(data, offsets, _SPACED)
+        one = len(offsets) == 2
+        for k in range(0, max(1, len(start)), segment // 8) if one else [0]:
+            part = slice(k, k + segment // 8 + self.words - 1) if one else slice(None)
+            s, e, r = start[part], end[part], row[part]
+            at = s[0] if one and len(s) else 0
+            piece = data[at : e[-1]] if one and len(s) else data
+            of, a, b, c, anchor, ctx = word_contexts(piece, s - at, e - at, r, self.words)
+            yield of, a + at - offsets[of], b - a, c - a, anchor, ctx
+
+    def every(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, end, _ = split_words(data, np.array([0, len(data)]), _SPACED)
+        return start[: len(start) - self.words + 1], end[self.words - 1 :]
+
+    def repeated(self, texts: list[bytes], leads: list[int]) -> list[list[dict]]:
+        return [_ranges(a, b) for a, b in repeated_word_windows(texts, self.words)]
+
+
+def _instances(docs: DataFrame, unit: Bytes | Words) -> DataFrame:
     """docs(k1, k2, text): a row for each context, places relative to the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,12 +150,8 @@ def _instances(docs: DataFrame, width: int) -> DataFrame:
             for part in slices(batch, "text", 2 << 20):
                 data, offsets = text_bytes(part.column(2))
                 k1, k2 = (part.column(i).to_numpy() for i in (0, 1))
-                # a very long text goes in pieces that overlap by all but one byte of a window: each window is in one piece
-                for a in range(0, max(1, len(data)), SEGMENT) if part.num_rows == 1 else [0]:
-                    piece, ends = (data[a : a + SEGMENT + width - 1], None) if part.num_rows == 1 else (data, offsets)
-                    ends = np.array([0, len(piece)]) if ends is None else ends
-                    row, p0, p1, c, anchor, ctx = contexts(piece, ends, width)
-                    yield pa.RecordBatch.from_pydict({"k1": k1[row], "k2": k2[row], "off": p0 - ends[row] + a, "len": p1 - p0, "lead": c - p0, "anchor": anchor, "ctx": ctx})
+                for row, off, size, lead, anchor, ctx in unit.contexts(data, offsets, SEGMENT):
+                    yield pa.RecordBatch.from_pydict({"k1": k1[row], "k2": k2[row], "off": off, "len": size, "lead": lead, "anchor": anchor, "ctx": ctx})
 
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, off long, len long, lead long, anchor long, ctx long")
 
@@ -142,23 +218,61 @@ def repeated_windows(texts: list[bytes], leads: list[int], width: int = WIDTH) -
     return out
 
 
-def _ranges(p: np.ndarray) -> list[dict]:
-    """Sorted places as closed ranges."""
-    if not len(p):
+def repeated_word_windows(texts: list[bytes], words: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of some different contexts, (start, end) of windows of words that occur in another of them (or in the same at another place)."""
+    size = np.array([len(x) for x in texts])
+    base = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    start, end, of = split_words(data, np.append(base, len(data)), _SPACED)
+    # a symbol is a word with what stands before it: all words of a window but its first, which is compared alone
+    before = np.append(0, end[:-1])
+    first = np.append(True, of[1:] != of[:-1])
+    before[first] = start[first]
+    n = np.bincount(of, minlength=len(texts))
+    at = np.arange(len(start)) + of  # an end after each context, different from all others
+    ends = np.cumsum(n + 1) - 1
+    code = np.zeros(len(start) + len(texts), np.int64)
+    code[at] = np.unique(run_hash(data, before, end), return_inverse=True)[1] + len(texts)
+    code[ends] = np.arange(len(texts), 0, -1) - 1
+    back = np.full(len(code), -1)
+    back[at] = np.arange(len(start))
+    order = np.array(suffix_order(code.tolist()))
+    # suffixes that begin with the second word of a window
+    w = back[np.maximum(order - 1, 0)]
+    ok = (order > 0) & (back[order] >= 0) & (w >= 0)
+    last = w + words - 1
+    ok &= (last < len(start)) & (of[np.minimum(last, len(start) - 1)] == of[w])
+    order, w = order[ok], w[ok]
+    p = np.zeros(0, np.int64)
+    if len(order) > 1:
+        same = np.ones(len(order) - 1, bool)
+        for k in range(words - 1):
+            same &= code[order[1:] + k] == code[order[:-1] + k]
+        cls = np.concatenate([[0], np.cumsum(~same)])
+        pair = np.stack([cls.astype(np.uint64), run_hash(data, start[w], end[w])], axis=1)
+        _, inverse, count = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
+        p = np.sort(w[count[inverse.ravel()] > 1])
+    cut = np.searchsorted(of[p], np.arange(len(texts) + 1))
+    return [(start[p[a:b]] - base[k], end[p[a:b] + words - 1] - base[k]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> list[dict]:
+    """Sorted windows as byte ranges, those that overlap in one."""
+    if not len(start):
         return []
-    gap = np.flatnonzero(np.diff(p) > 1)
-    return [{"a": int(x), "b": int(y)} for x, y in zip(p[np.append(0, gap + 1)], p[np.append(gap, len(p) - 1)], strict=True)]
+    gap = np.flatnonzero(start[1:] > end[:-1])
+    return [{"a": int(x), "b": int(y)} for x, y in zip(start[np.append(0, gap + 1)], end[np.append(gap, len(end) - 1)], strict=True)]
 
 
 _RANGE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _sorted_contexts(bytes_: DataFrame, width: int) -> DataFrame:
+def _sorted_contexts(bytes_: DataFrame, unit: Bytes | Words) -> DataFrame:
     """bytes_(anchor, ctx, n, lead, bytes), whole anchors side by side in a partition: (anchor, ctx, ranges) where n = 1."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        marks = repeated_windows([r[4] for r in rows], [r[3] for r in rows], width)
-        kept = [(r[0], r[1], _ranges(m)) for r, m in zip(rows, marks, strict=True) if r[2] == 1 and len(m)]
+        marks = unit.repeated([r[4] for r in rows], [r[3] for r in rows])
+        kept = [(r[0], r[1], m) for r, m in zip(rows, marks, strict=True) if r[2] == 1 and len(m)]
         return pa.RecordBatch.from_pydict({"anchor": pa.array([x[0] for x in kept], pa.int64()), "ctx": pa.array([x[1] for x in kept], pa.int64()), "ranges": pa.array([x[2] for x in kept], _RANGE)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,29 +291,26 @@ def _sorted_contexts(bytes_: DataFrame, width: int) -> DataFrame:
     return bytes_.select("anchor", "ctx", "n", "lead", "bytes").mapInArrow(run, "anchor long, ctx long, ranges array<struct<a:long,b:long>>")
 
 
-def _counted_contexts(bytes_: DataFrame, width: int) -> DataFrame:
+def _counted_contexts(bytes_: DataFrame, unit: Bytes | Words) -> DataFrame:
     """The same for anchors with very many contexts, by counting window hashes over the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for anchor, ctx, n, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x = np.frombuffer(data, np.uint8)
-                p = np.arange(len(x) - width + 1)
-                h = run_hash(x, p, p + width).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"anchor": np.full(len(p), anchor), "ctx": np.full(len(p), ctx), "n": np.full(len(p), n), "p": p, "w": h})
+                a, b = unit.every(x)
+                h = run_hash(x, a, b).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"anchor": np.full(len(a), anchor), "ctx": np.full(len(a), ctx), "n": np.full(len(a), n), "a": a, "b": b, "w": h})
 
-    w = bytes_.select("anchor", "ctx", "n", "bytes").mapInArrow(run, "anchor long, ctx long, n long, p long, w long")
+    w = bytes_.select("anchor", "ctx", "n", "bytes").mapInArrow(run, "anchor long, ctx long, n long, a long, b long, w long")
     twice = w.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w")
     hit = w.where("n = 1").join(twice, "w", "left_semi")
-    return hit.groupBy("anchor", "ctx").agg(F.collect_list(F.struct(F.col("p").alias("a"), F.col("p").alias("b"))).alias("ranges"))
+    return hit.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """docs plus k1, k2 (a key of the row's id and text), and (k1, k2, spans): byte ranges of repeated windows, not merged."""
-    if width % CELL or width < 2 * GRAM:
-        raise ValueError(f"width must be a multiple of {CELL}, at least {2 * GRAM}")
-    keyed = docs.withColumns({"k1": F.xxhash64(F.lit(1), "doc_id", "text"), "k2": F.xxhash64(F.lit(2), "text", "doc_id")})
-    inst = materialize(_instances(keyed.where(F.octet_length("text") >= width), width), "contexts")
+def repeated_spans(keyed: DataFrame, unit: Bytes | Words) -> DataFrame:
+    """keyed(k1, k2, text), k1 and k2 a key of the row's id and text: (k1, k2, s), byte ranges of repeated windows, not merged."""
+    inst = materialize(_instances(keyed.where(F.octet_length("text") >= unit.least), unit), "contexts")
     ctx = inst.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "off", "len", "lead")])
     anchors = ctx.groupBy("anchor").agg(F.count("*").alias("d"), F.sum("n").alias("t")).where("t > 1")
     ctx = materialize(ctx.join(anchors, "anchor"), "repeated")
@@ -212,7 +323,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
                 out = []
                 for text, asked in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                     data = text.as_buffer().to_pybytes()
-                    out += [(x["anchor"], x["ctx"], x["n"], x["d"], x["lead"], data[x["off"] : x["off"] + x["len"] + width]) for x in asked]
+                    out += [(x["anchor"], x["ctx"], x["n"], x["d"], x["lead"], data[x["off"] : x["off"] + x["len"]]) for x in asked]
                 names, kinds = ("anchor", "ctx", "n", "d", "lead", "bytes"), [pa.int64()] * 5 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
@@ -220,15 +331,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     mixed = texts.mapInArrow(cut, "anchor long, ctx long, n long, d long, lead long, bytes binary")
     mixed = materialize(mixed, "bytes")
     near = mixed.where(F.col("d") <= HOT).repartition("anchor").sortWithinPartitions("anchor", "ctx", "n")
-    found = whole.union(_sorted_contexts(near, width)).union(_counted_contexts(mixed.where(F.col("d") > HOT), width))
+    found = whole.union(_sorted_contexts(near, unit)).union(_counted_contexts(mixed.where(F.col("d") > HOT), unit))
     # rows that share id and text have one key: their spans are the same
-    spans = inst.join(found, ["anchor", "ctx"]).select("k1", "k2", F.transform("ranges", lambda r: F.struct((F.col("off") + r["a"]).alias("start"), (F.col("off") + r["b"] + width).alias("end"))).alias("s"))
-    return keyed, spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return inst.join(found, ["anchor", "ctx"]).select("k1", "k2", F.transform("ranges", lambda r: F.struct((F.col("off") + r["a"]).alias("start"), (F.col("off") + r["b"]).alias("end"))).alias("s"))
 
 
-def _cut_out(docs: DataFrame, keep: list[str], width: int) -> DataFrame:
-    """keep... plus n_bytes, spans (merged), kept (binary)."""
-    keyed, spans = repeated_spans(docs, width)
+def _cut_out(docs: DataFrame, keep: list[str], *units: Bytes | Words) -> DataFrame:
+    """keep... plus n_bytes, spans (merged), kept (binary): without the repeated windows of any unit."""
+    keyed = docs.withColumns({"k1": F.xxhash64(F.lit(1), "doc_id", "text"), "k2": F.xxhash64(F.lit(2), "text", "doc_id")})
+    found = repeated_spans(keyed, units[0])
+    for unit in units[1:]:
+        found = found.union(repeated_spans(keyed, unit))
+    spans = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans"))
     schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>, rest binary, kept_sha256 string")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,16 +373,16 @@ def _cut_out(docs: DataFrame, keep: list[str], width: int) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 400-byte strings that also start elsewhere. Null text: empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _cut_out(docs, ["doc_id"], WIDTH).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _cut_out(docs, ["doc_id"], Bytes(WIDTH)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated bytes leave the texts; a text of which nothing is left goes, one that was empty stays.
+    """Pipeline stage: passages of 51 words, and of 400 bytes, that also start elsewhere leave the texts; a text of which nothing is left goes, one that was empty stays.
 
     A cut can fall inside a character; such broken ends are dropped. n_chars follows the text.
     """
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    out = _cut_out(whole, ["row"], WIDTH).where("n_removed = 0 OR n_removed < n_bytes")
+    out = _cut_out(whole, ["row"], Bytes(WIDTH), Words(WORDS)).where("n_removed = 0 OR n_removed < n_bytes")
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.expr("try_validate_utf8(cast(rest as string))"))
     text = F.coalesce(text, F.when(F.col("n_removed") > 0, F.expr("replace(make_valid_utf8(cast(rest as string)), '�', '')")))
     fixed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -15,7 +17,7 @@ from loomframe.llm.decontaminate import Windows, find_passages, op5_decontaminat
 from loomframe.llm.fm_index import FMIndex
 from loomframe.llm.minhash import near_duplicates, op3_minhash
 from loomframe.llm.pieces import MODEL, Pieces, best_path, decode, encode, merge_word, op2_sentencepiece
-from loomframe.llm.repeats import op8_suffix_dedup, repeated_windows
+from loomframe.llm.repeats import drop_repeats, op8_suffix_dedup, repeated_windows
 from loomframe.llm.suffix import suffix_order
 
 
@@ -148,6 +150,61 @@ def test_repeated_windows_need_left_and_right():
     assert got[0].tolist() == list(range(10, 81)) and got[1].tolist() == list(range(10, 81)) and not len(got[2])
 
 
+def plain_passages(texts, words=51, width=400):
+    """What the pipeline's stage leaves: no byte of a repeated passage of 51 words, or of 400 bytes."""
+    raw = [(t or "").encode() for t in texts]
+    spans, seen = [], Counter()
+    for b in raw:
+        w = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        spans.append([("words", x[0], y[1]) for x, y in zip(w, w[words - 1 :])] + [("bytes", i, i + width) for i in range(len(b) - width + 1)])
+        seen.update((kind, b[x:y]) for kind, x, y in spans[-1])
+    out = []
+    for b, s in zip(raw, spans):
+        gone = bytearray(len(b))
+        for kind, x, y in s:
+            if seen[kind, b[x:y]] > 1:
+                gone[x:y] = b"\1" * (y - x)
+        out.append(bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def drop(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return {r["doc_id"]: r["text"] for r in drop_repeats(spark, docs, "").collect()}
+
+
+def test_stage_takes_passages_of_51_words(spark):
+    """51 words of under 400 bytes go from every text that holds them; 50 words stay."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randint(0, 9999)}" for _ in range(n))
+    p, q = say(51), say(50)
+    assert len(p) < 400
+    a, b, c, d, e = (say(20) for _ in range(5))
+    rows = [(0, f"{a} {p} {b}"), (1, f"{p}\n{c}"), (2, f"{d} {q} {e}"), (3, f"{a[:9]}x {q}"), (4, c[:40])]
+    got = drop(spark, rows)
+    assert got == {0: f"{a}  {b}", 1: f"\n{c}", 2: rows[2][1], 3: rows[3][1], 4: rows[4][1]}
+
+
+@pytest.mark.parametrize(("seed", "hot", "segment"), [(1, 8192, 4 << 20), (2, 2, 4 << 20), (3, 8192, 600)])
+def test_stage_matches_brute_force(spark, monkeypatch, seed, hot, segment):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
+    rng = random.Random(seed)
+    bank = [[rng.choice(["é", "a", "to", "word", "x1", "under,"]) for _ in range(rng.choice([50, 51, 52, 90, 160]))] for _ in range(6)]
+    bank.append(["ab", "cd"] * 60)
+    rows = []
+    for i in range(40 if segment > 600 else 1):
+        parts = []
+        for _ in range(rng.randint(0, 4) if segment > 600 else 12):
+            w = list(rng.choice(bank))
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = f"E{rng.randint(0, 99)}"
+            parts += [" ".join(w), *(f"own{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 20)))]
+        rows.append((i, rng.choice([" ", "\n"]).join(parts)))
+    want = {i: t for (i, old), t in zip(rows, plain_passages([t for _, t in rows])) if t or not old}
+    assert drop(spark, rows) == want and any(want.get(i) != t for i, t in rows)
+
+
 # contamination
 
 
