@@ -368,7 +368,7 @@ def truncate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOKENS_SQL}, x AS (SELECT conv_id, conv_id // 8 AS batch_id, ids[1:64] AS ids, labs[1:64] AS labs FROM m), y AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS n FROM x)
 SELECT conv_id, batch_id, n::INTEGER AS batch_len, {_flat('list_resize(ids, n, 0)')} AS ids, {_flat('list_resize(labs, n, -100)')} AS labels, len(ids)::BIGINT AS n_attended FROM y""")
 def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = batches.padded(batches.with_batch(samples(spark, sf_dir, 64), 8, "conv_id"), "batch_id", 0)
+    x = batches.padded(batches.with_batch(samples(spark, sf_dir), 8, "conv_id"), "batch_id", 0)
     return x.select("conv_id", "batch_id", "batch_len", flat("input_ids").alias("ids"), flat("labels").alias("labels"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, v: a + v).alias("n_attended"))
 
 
@@ -376,7 +376,7 @@ def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, (len(ids) + CASE WHEN p > 0 THEN 31 ELSE 0 END)::INTEGER AS n_spliced, {_flat('CASE WHEN p > 0 THEN list_concat(list_concat(labs[1:p-1], [-100 for i in range(32)]), labs[p+1:]) ELSE labs END')} AS labels,
  {_flat('[greatest(i, 0) for i in ids]')} AS embeddable FROM y""")
 def splice_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = samples(spark, sf_dir, 64).withColumn("out", Q.splice_labels(F.col("labels"), F.col("input_ids"))).withColumn("emb", Q.embeddable(F.col("input_ids")))
+    x = samples(spark, sf_dir).withColumn("out", Q.splice_labels(F.col("labels"), F.col("input_ids"))).withColumn("emb", Q.embeddable(F.col("input_ids")))
     return x.select("conv_id", F.size("out").alias("n_spliced"), flat("out").alias("labels"), flat("emb").alias("embeddable"))
 
 
