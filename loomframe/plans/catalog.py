@@ -151,8 +151,8 @@ def weighted_task_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with a teacher struct: some descriptions and explanations are blank."""
     f = frames(spark, sf_dir)
-    texts = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("head"))
-    t = F.struct(F.expr(TEACHER).alias("sludge"), F.expr("CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE layout END").alias("layout"), F.expr("CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE head END").alias("description"), F.expr("CASE WHEN doc_id % 4 = 0 THEN 'Two scenes.' END").alias("explanation"))
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    t = F.struct(F.expr(TEACHER).alias("sludge"), F.expr("CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE layout END").alias("layout"), F.expr("CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE text END").alias("description"), F.expr("CASE WHEN doc_id % 4 = 0 THEN 'Two scenes.' END").alias("explanation"))
     return f.join(texts, "doc_id").withColumn("teacher", t).withColumn("time_s", F.expr("CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 30 + 0.5D END"))
 
 

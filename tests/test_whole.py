@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from loomframe.operators import conversations
 from loomframe.plans import catalog
 
 
@@ -53,3 +54,23 @@ def test_splice_lengths_of_whole_sequences(spark, talks):
         out = labs if p is None else labs[:p] + [-100] * 32 + labs[p + 1 :]
         want[c] = (len(out), flat(out), flat(max(i, 0) for i in ids))
     assert {r["conv_id"]: (r["n_spliced"], r["labels"], r["embeddable"]) for r in catalog.splice_lengths(spark, folder).collect()} == want
+
+
+def test_conversations_hold_whole_descriptions(spark, tables):
+    """Line ends, trailing blanks and long texts reach the answers of all three tasks that use them."""
+    text = "'  x' || d || chr(10) || repeat('a word\\t', 100 * (d % 3)) || 'end ' || d || chr(10) || '  '"
+    folder = tables(
+        documents=f"SELECT d AS doc_id, {text} AS text, 'en' AS lang, 's0' AS source, 1::BIGINT AS n_chars FROM range(300) x(d)",
+        labels="SELECT d AS doc_id, 1::INT AS quality, 0::INT AS toxic FROM range(0, 300, 2) x(d)",
+    )
+    texts = {f"s0/{d}.jpg": t.strip() for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall() if d % 5 > 1}
+    seen = set()
+    for r in catalog.conversation_build(spark, folder).collect():
+        d = int(r["image"].removeprefix("s0/").removesuffix(".jpg"))
+        task = next(t for t in conversations.TASK_WEIGHTS if r["id"].endswith("_" + t))
+        if r["image"] not in texts or r["from"] != "gpt" or task in ("classify", "layout") or (task == "coupled" and (r["turn"] == 1 or d % 4 == 0)):
+            continue
+        start = {"describe_teacher": [""], "refuse": [conversations.REFUSAL], "coupled": list(conversations.PREFIX.values())}[task]
+        assert r["value"] in [s + texts[r["image"]] for s in start]
+        seen.add((task, d % 3))
+    assert len(seen) == 9
