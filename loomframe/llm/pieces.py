@@ -318,16 +318,27 @@ class Speller:
         return self.data[np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
+def _spelled(data: bytes) -> str:
+    text = data.decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:] if text.startswith(" ") else text
+
+
 def decode_ids(ids: list[int], speller: Speller) -> str:
     """The text of a row of ids; bytes that are no UTF-8 become U+FFFD."""
-    text = speller(np.array(ids, np.int64)).tobytes().decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+    return _spelled(speller(np.array(ids, np.int64)).tobytes())
+
+
+def decode_rows(ids: np.ndarray, offsets: np.ndarray, speller: Speller) -> list[str]:
+    """The same for many rows at once: ids[offsets[i]:offsets[i + 1]] are those of row i."""
+    data = speller(ids).tobytes()
+    at = np.concatenate([[0], np.cumsum(speller.size[ids])])[offsets].tolist()
+    return [_spelled(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
     """docs(text, keep...): keep..., n_tokens, ids, decoded (whether decoding the ids gives the text back).
 
-    Null and empty texts have no ids. A text that holds U+2581 itself comes back with a space in its place.
+    Null and empty texts have no ids. A text that holds U+2581 itself comes back with a space in its place: not decoded.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
@@ -368,8 +379,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
                     count, ids = words(h, lambda i, joined=joined, start=start: rest(joined[start[i] : start[i + 1]]))
                     per = np.bincount(row, count, len(texts)).astype(np.int64) if len(row) else np.zeros(len(texts), np.int64)
                     offsets = np.concatenate([[0], np.cumsum(per)])
-                    whole = speller(ids).tobytes() == joined.encode()
-                    same = [whole or decode_ids(ids[offsets[i] : offsets[i + 1]].tolist(), speller) == (t or "") for i, t in enumerate(texts)]
+                    same = [back == (t or "") for back, t in zip(decode_rows(ids, offsets, speller), texts, strict=True)]
                     column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                     yield from pa.Table.from_arrays([*rows.drop_columns(["text"]).columns, pa.array(per), column, pa.array(same)], names=[f.name for f in schema]).to_batches()
 

@@ -288,6 +288,13 @@ def test_ids_are_the_librarys(spark, tables, edge_documents, library):
     assert op2_sentencepiece(spark, tables()).count() == 0
 
 
+def test_decoded_is_false_for_texts_that_hold_the_space_mark(spark, tables, library):
+    texts = ["a▁b", "▁", " a ▁", "a b", "▁▁x y", "", None, " two  spaces ", "漢\x01"]
+    got = {r["doc_id"]: (r["decoded"], list(r["ids"])) for r in op2_sentencepiece(spark, tables(documents=[(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert {i: d for i, (d, _) in got.items()} == {i: "▁" not in (t or "") for i, t in enumerate(texts)}
+    assert all(ids == library.encode(texts[i] or "") for i, (_, ids) in got.items())
+
+
 def test_decode_gives_the_text_back(spark, edge_documents):
     pieces = Pieces.load()
     docs = spark.createDataFrame([(k, t) for k, (_, t, *_) in enumerate(edge_documents)], "k int, text string")
