@@ -255,9 +255,15 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the smallest doc_id stays (five words, 0.8)."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group one row stays (five words, 0.8): the smallest doc_id's; of several, that of the smallest fingerprint.
+
+    Groups are of rows: rows that share an id are linked like any others, and so are rows without an id, which go first.
+    """
+    rows = materialize(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_print": F.xxhash64("text")}), "rows")
+    member = near_duplicates(rows.select(F.col("_rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("_rid"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_print", "_rid")
+    first = member.join(rows.select("_rid", "doc_id", "_print").hint("merge"), "_rid").groupBy("component_id").agg(F.min(order)["_rid"].alias("_rid"))
+    return rows.join(first.select("_rid").hint("merge"), "_rid", "left_semi").select(*docs.columns)
 
 
 OP3_SQL = r"""

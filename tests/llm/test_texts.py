@@ -15,7 +15,7 @@ from loomframe.llm import minhash, repeats
 from loomframe.llm.common import run_hash
 from loomframe.llm.decontaminate import Windows, find_passages, op5_decontamination, remove_spans, word_hashes
 from loomframe.llm.fm_index import FMIndex
-from loomframe.llm.minhash import near_duplicates, op3_minhash
+from loomframe.llm.minhash import drop_near_duplicates, near_duplicates, op3_minhash
 from loomframe.llm.pieces import MODEL, Pieces, best_path, decode, encode, merge_word, op2_sentencepiece
 from loomframe.llm.repeats import drop_repeats, op8_suffix_dedup, repeated_windows
 from loomframe.llm.suffix import suffix_order
@@ -82,6 +82,23 @@ def test_circulant_estimates_jaccard():
     assert abs(same - 300 / 500) < 0.08
 
 
+def test_stage_leaves_one_row_of_each_group(spark, edge_documents):
+    """Rows, not ids: repeated ids, rows without an id and two texts under one id."""
+    base = edge_documents[0][1]
+    rng = random.Random(4)
+    own = [" ".join(f"u{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(3)]
+    rows = [*[(i, t) for i, t, *_ in edge_documents], (30, own[0]), (30, base + " more"), (None, own[1]), (None, own[1]), (31, own[2]), (31, own[2]), (None, own[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda k: (rows[k][0] is None, rows[k][0] or 0)
+    groups = {}
+    for k, (_, c) in brute.near_duplicates([(k, t) for k, (_, t) in enumerate(rows)], 5, 80).items():
+        groups.setdefault(c, []).append(k)
+    got = drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in got)) == sorted(key(min(g, key=key)) for g in groups.values())
+    assert all(rows[r["n_chars"]] == (r["doc_id"], r["text"]) for r in got)
+    assert sum((r["text"] or "").startswith(base[:200]) for r in got) == 1 and {(30, own[0]), (None, own[1]), (31, own[2])} <= {(r["doc_id"], r["text"]) for r in got}
+
+
 # repeated passages
 
 
