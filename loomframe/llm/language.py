@@ -3,7 +3,8 @@
 A document's words are drawn from a mixture of languages: a word's likelihood in a language is that of its byte
 trigrams (word edges included) under the language's trigram distribution, counted over all training documents. For
 each document, expectation-maximisation estimates the language proportions; sets of the 1, 2, ... likeliest languages
-are fitted again and the set with the best likelihood minus half a log(words) for each further language is kept.
+are fitted again, until a set of more than MAX_SET is no better or all languages are in, and the set with the best
+likelihood minus half a log(words) for each further language is kept.
 The prediction is the language with the largest share, the score is that share.
 
 The model has 2 ** BITS trigram buckets a language, whatever the corpus; it is sent to the tasks.
@@ -23,7 +24,7 @@ from pyspark.sql.types import StructType
 from .common import slices, table, text_bytes
 
 BITS = 16
-#: Largest language set that is fitted; iterations of each fit; weight of a count not seen.
+#: Language sets up to this size are fitted for every document, larger ones as long as they are better; iterations of each fit; weight of a count not seen.
 MAX_SET, ITERATIONS, ALPHA = 3, 8, 0.05
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -99,27 +100,38 @@ class Model:
         has, start, words = np.unique(row, return_index=True, return_counts=True)
         doc = np.repeat(np.arange(len(has)), words)
 
-        def fit(mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            """EM over the languages in mask (docs x languages): (shares, log likelihood)."""
+        def fit(mask: np.ndarray, rounds: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            """EM over the languages in mask (docs x languages), of some docs or all: (shares, log likelihood)."""
+            own, at, doc_, words_ = like, start, doc, words
+            if of is not None:
+                some = np.zeros(len(has), bool)
+                some[of] = True
+                own, words_ = like[some[doc]], words[of]
+                at, doc_ = np.cumsum(words_) - words_, np.repeat(np.arange(len(of)), words_)
             share = mask / mask.sum(axis=1, keepdims=True)
             for _ in range(rounds):
-                r = like * share.astype(np.float32)[doc]
+                r = own * share.astype(np.float32)[doc_]
                 r /= r.sum(axis=1, keepdims=True) + np.float32(1e-30)
-                share = np.add.reduceat(r, start, axis=0, dtype=np.float64) / words[:, None]
-            mix = (like * share.astype(np.float32)[doc]).sum(axis=1, dtype=np.float64)
-            return share, np.add.reduceat(np.log(mix + 1e-30), start)
+                share = np.add.reduceat(r, at, axis=0, dtype=np.float64) / words_[:, None]
+            mix = (own * share.astype(np.float32)[doc_]).sum(axis=1, dtype=np.float64)
+            return share, np.add.reduceat(np.log(mix + 1e-30), at)
 
         every, _ = fit(np.ones((len(has), m)), ITERATIONS)
         order = np.argsort(-every, axis=1, kind="stable")
-        best, kept = np.full(len(has), -np.inf), every
-        for size in range(1, min(MAX_SET, m) + 1):
-            mask = np.zeros((len(has), m))
-            np.put_along_axis(mask, order[:, :size], 1.0, axis=1)
-            share, ll = fit(mask, ITERATIONS if size > 1 else 0)
-            value = ll - 0.5 * (size - 1) * np.log(np.maximum(words, 2))
-            better = value > best
-            best = np.where(better, value, best)
-            kept = np.where(better[:, None], share, kept)
+        best, kept = np.full(len(has), -np.inf), every.copy()
+        left = np.arange(len(has))
+        for size in range(1, m + 1):
+            mask = np.zeros((len(left), m))
+            np.put_along_axis(mask, order[left, :size], 1.0, axis=1)
+            share, ll = fit(mask, ITERATIONS if size > 1 else 0, left if len(left) < len(has) else None)
+            value = ll - 0.5 * (size - 1) * np.log(np.maximum(words[left], 2))
+            better = value > best[left]
+            best[left[better]] = value[better]
+            kept[left[better]] = share[better]
+            if size >= MAX_SET:
+                left = left[better]
+            if not len(left):
+                break
         out[has] = kept
         return out
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from loomframe.llm.boosting import Boosted, Isotonic
-from loomframe.llm.language import op1_language
+from loomframe.llm.language import Model, op1_language
 from loomframe.llm.toxicity import INSULTS, op7_toxicity, undo
 
 BANKS = {"en": "the of and with from house river stone".split(), "de": "der und nicht eine straße wasser über".split(), "fr": "le les dans une être où très maison".split()}
@@ -108,3 +108,24 @@ def test_language_on_the_test_tables(spark):
     want = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang").toPandas()
     x = got[got["held_out"]].merge(want, on="doc_id")
     assert (x["lang_pred"] == x["lang"]).mean() > 0.95
+
+
+def test_texts_in_more_than_three_languages():
+    """Sets go on growing while they are better; texts in fewer languages keep theirs."""
+    import pandas as pd
+
+    from loomframe.llm.language import _grams
+
+    alphabets = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]
+    rng = np.random.default_rng(0)
+    say = lambda k, n: ["".join(rng.choice(list(alphabets[k]), 5)) for _ in range(n)]
+    counts = []
+    for k in range(5):
+        data = np.frombuffer(" ".join(say(k, 2000)).encode(), np.uint8)
+        g, n = np.unique(_grams(data, np.array([0, len(data)]))[0], return_counts=True)
+        counts.append(pd.DataFrame({"lang": f"l{k}", "gram": g, "n": n}))
+    texts = [" ".join(w for k in range(size) for w in say(k, 30)).encode() for size in (4, 1, 5, 2, 4)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    p = Model(pd.concat(counts)).proportions(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for row, size in zip(p, (4, 1, 5, 2, 4)):
+        assert (row > 0).sum() == size and np.allclose(row[:size], 1 / size, atol=0.02)
