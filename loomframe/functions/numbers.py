@@ -49,6 +49,6 @@ def choose_weighted(weights: dict[str, int], key: Column, seed: str = "") -> Col
 def frame_times(duration: Column, most: int = 30) -> Column:
     """Mid-second times of a video, thinned evenly to `most`; none for durations under a second."""
     n = duration.cast("int")
-    times = F.transform(F.sequence(F.lit(0), n - 1), lambda t: t + F.lit(0.5))
-    few = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(times, (F.floor(i * (n / F.lit(float(most)))) + 1).cast("int")))
-    return F.when(n >= 1, F.when(n > most, few).otherwise(times)).otherwise(F.expr("cast(array() as array<double>)"))
+    second = lambda i: F.when(n > most, F.floor(i * (n / F.lit(float(most))))).otherwise(i)
+    times = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(most)) - 1), lambda i: second(i) + F.lit(0.5))
+    return F.when(n >= 1, times).otherwise(F.expr("cast(array() as array<double>)"))

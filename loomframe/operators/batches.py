@@ -6,29 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import IGNORE, attention_mask, pad
+from ..sources.shared import materialize
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "ord", rows_per_part: int = 1_000_000) -> DataFrame:
     """rows plus their place in a total order, from 0: one range shuffle, no task sorts more than a range.
 
-    A row's place is its number within its range plus the rows of earlier ranges; the ranges' counts, one row each, are
-    broadcast (a row for each rows_per_part rows). Both sides read the same shuffle.
+    The sorted ranges are written once to the shared folder, so that counts and places come from the same ranges. A row's place
+    is its number within its range plus the rows of earlier ranges; the ranges' counts, one row each, are broadcast
+    (a row for each rows_per_part rows). Rows that agree in the whole order have places in no stated order.
     """
     parts = max(1, -(-rows.count() // rows_per_part))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    counts = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = counts.select("_p", before.alias("_before"))
-    placed = ranged.withColumn("_p", part).join(F.broadcast(before), "_p")
-    return placed.withColumn(name, F.col("_id") - F.shiftleft("_p", 33) + F.col("_before")).select(*rows.columns, name)
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("id")), "numbered")
+    part = F.shiftright("id", 33)
+    counts = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("part", part).join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+    return placed.select("row.*", (F.col("id") - F.shiftleft("part", 33) + F.col("before")).alias(name))
 
 
-def numbered_within(rows: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str = "place", rows_per_part: int = 1_000_000) -> DataFrame:
     """rows plus their place in the order within their group, from 1; a large group is spread over ranges like any other rows."""
-    placed = numbered(rows, [group, *order], "_ord")
+    placed = numbered(rows, [group, *order], "_ord", rows_per_part)
     first = placed.groupBy(group).agg(F.min("_ord").alias("_first"))
-    return placed.join(first, group).withColumn(name, F.col("_ord") - F.col("_first") + 1).select(*rows.columns, name)
+    placed, first = placed.alias("p"), first.withColumnRenamed(group, "_group")
+    return placed.join(first, F.col(f"p.`{group}`").eqNullSafe(F.col("_group"))).withColumn(name, F.col("_ord") - F.col("_first") + 1).select(*rows.columns, name)
 
 
 def with_batch(rows: DataFrame, size: int, ord_: str = "ord", name: str = "batch_id") -> DataFrame:

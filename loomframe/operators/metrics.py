@@ -65,7 +65,13 @@ def dual_report(rows: DataFrame, pred: str, gt: str, cleaned: str) -> DataFrame:
     return x.withColumn("gt_acc", ratio_or_zero(F.col("gt_correct"), F.col("n_total"))).withColumn("cleaned_acc", ratio_or_zero(F.col("cleaned_correct"), F.col("n_total")))
 
 
-def agreement(pairs: DataFrame, a: str, b: str, same_text: Column, same_object: Column, same_first: Column, same_second: Column) -> DataFrame:
+def paired(replies: DataFrame, key: str, run: str, reply: str, a: str, b: str) -> DataFrame:
+    """replies in long form (key, run, reply) to (key, a, b): the replies of two runs, joined by key, never by position. Keys of one run only are left out."""
+    one = lambda name: replies.where(F.col(run) == name).select(key, F.col(reply).alias(name))
+    return one(a).join(one(b), key)
+
+
+def agreement(pairs: DataFrame, same_text: Column, same_object: Column, same_first: Column, same_second: Column) -> DataFrame:
     """One row: pairs, equal texts, objects and fields, and their per cent to one place."""
     names = ("byte_identical", "json_identical", "sludge_match", "layout_match")
     x = pairs.agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in zip(names, (same_text, same_object, same_first, same_second), strict=True)])

@@ -163,7 +163,7 @@ def _bank(items: list[str], salt: str) -> str:
 
 CONVERSATION_SQL = f"""WITH {FRAMES}, t AS (
  SELECT f.*, {TEACHER.replace("doc_id", "f.doc_id")} AS t_sludge, trim(CASE WHEN f.doc_id % 6 = 0 THEN ' ' ELSE layout END) AS t_layout,
-  CASE f.doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE substr(d.text, 1, 60) END AS t_raw, CASE WHEN f.doc_id % 4 = 0 THEN 'Two scenes.' ELSE '' END AS t_why,
+  CASE f.doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE d.text END AS t_raw, CASE WHEN f.doc_id % 4 = 0 THEN 'Two scenes.' ELSE '' END AS t_why,
   CASE WHEN f.doc_id % 3 = 0 THEN 0 ELSE f.doc_id % 30 END AS sec, {BUCKET.format("'task' || frame_path")} % 100 AS b FROM f JOIN documents d ON f.doc_id = d.doc_id),
 u AS (SELECT *, regexp_replace(t_raw, '^\\s+|\\s+$', '', 'g') AS t_text, starts_with(lower(coalesce(t_sludge, '')), 'y') AS yes, {TASK_SQL} AS task, coalesce(nullif(t_layout, ''), 'other') AS lay FROM t WHERE length(t_raw) > 0 AND split IN ('train', 'validate')),
 v AS (SELECT *, concat('tiktok_', video_id, '_f', sec, '_', task) AS id, replace(frame_path, 'frames/', '') AS image, CASE WHEN yes THEN 'Yes.' ELSE 'No.' END AS yn,
@@ -242,23 +242,36 @@ def layout_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIR_A = "concat('{\"sludge\": \"', CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END, '\", \"layout\": \"', lang, '\"}')"
-PAIR_B = "CASE doc_id % 6 WHEN 0 THEN concat('{\"layout\": \"', lang, '\", \"sludge\": \"yes\"}') WHEN 1 THEN 'none' WHEN 2 THEN concat('{\"sludge\": \"no\", \"layout\": \"', lang, '\"}') ELSE " + PAIR_A + " END"
+PAIR_B = f"""CASE doc_id % 14 WHEN 0 THEN concat('{{"layout": "', lang, '", "sludge": "yes"}}') WHEN 1 THEN 'none' WHEN 2 THEN concat('{{"sludge": "no", "layout": "', lang, '"}}')
+ WHEN 3 THEN concat({PAIR_A}, ' junk }}') WHEN 4 THEN replace({PAIR_A}, '"', '\'\'') WHEN 5 THEN '{{"sludge": true, "layout": 1}}' WHEN 6 THEN concat('{{"sludge": "yes", "layout": "', lang, '", "x": 1}}')
+ WHEN 7 THEN concat('<think>{{}}</think>```json ', {PAIR_A}, ' ```') WHEN 8 THEN concat({PAIR_A}, {PAIR_A}) ELSE {PAIR_A} END"""
+EMPTY_A = f"CASE WHEN doc_id % 28 = 1 THEN '{{}}' ELSE {PAIR_A} END"
+RUNS_SQL = f"SELECT doc_id, {EMPTY_A} AS a, {PAIR_B} AS b FROM documents"
 
 
-@query(f"""WITH p AS (SELECT doc_id, {PAIR_A} AS a, {PAIR_B} AS b FROM documents), q AS (SELECT *, TRY_CAST(a AS JSON) AS ja, TRY_CAST(b AS JSON) AS jb FROM p),
-x AS (SELECT a = b AS t, (ja ->> '$.sludge') IS NOT DISTINCT FROM (jb ->> '$.sludge') AS s, (ja ->> '$.layout') IS NOT DISTINCT FROM (jb ->> '$.layout') AS l FROM q),
-n AS (SELECT count(*) AS n, count(*) FILTER (t) AS byte_identical, count(*) FILTER (s AND l) AS json_identical, count(*) FILTER (s) AS sludge_match, count(*) FILTER (l) AS layout_match FROM x)
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, run, reply): the replies of two runs over the same rows."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return d.select("doc_id", F.lit("serial").alias("run"), F.expr(EMPTY_A).alias("reply")).union(d.select("doc_id", F.lit("batched").alias("run"), F.expr(PAIR_B).alias("reply")))
+
+
+@query(f"""WITH p AS ({RUNS_SQL}), c AS (SELECT *, trim(replace(replace(regexp_replace(b, '(?s)^.*</think>', ''), '```json', ''), '```', '')) AS t FROM p),
+q AS (SELECT a, b, coalesce(TRY_CAST(a AS JSON), '{{}}') AS ja, coalesce(TRY_CAST(CASE WHEN contains(t, '{{') THEN substr(t, instr(t, '{{'), length(t) - instr(reverse(t), '}}') + 2 - instr(t, '{{')) END AS JSON), '{{}}') AS jb FROM c),
+x AS (SELECT a = b AS t, list_sort(json_keys(ja)) = list_sort(json_keys(jb)) AND (ja -> '$.sludge')::VARCHAR IS NOT DISTINCT FROM (jb -> '$.sludge')::VARCHAR AND (ja -> '$.layout')::VARCHAR IS NOT DISTINCT FROM (jb -> '$.layout')::VARCHAR AS o,
+ CASE WHEN json_type(ja, '$.sludge') = 'VARCHAR' THEN ja ->> '$.sludge' END IS NOT DISTINCT FROM CASE WHEN json_type(jb, '$.sludge') = 'VARCHAR' THEN jb ->> '$.sludge' END AS s,
+ CASE WHEN json_type(ja, '$.layout') = 'VARCHAR' THEN ja ->> '$.layout' END IS NOT DISTINCT FROM CASE WHEN json_type(jb, '$.layout') = 'VARCHAR' THEN jb ->> '$.layout' END AS l FROM q),
+n AS (SELECT count(*) AS n, count(*) FILTER (t) AS byte_identical, count(*) FILTER (o) AS json_identical, count(*) FILTER (s) AS sludge_match, count(*) FILTER (l) AS layout_match FROM x)
 SELECT *, round_even(byte_identical::DOUBLE * 100 / n, 1) AS byte_identical_pct, round_even(json_identical::DOUBLE * 100 / n, 1) AS json_identical_pct, round_even(sludge_match::DOUBLE * 100 / n, 1) AS sludge_match_pct, round_even(layout_match::DOUBLE * 100 / n, 1) AS layout_match_pct FROM n""")
 def ab_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "documents").select("doc_id", F.expr(PAIR_A).alias("a"), F.expr(PAIR_B).alias("b"))
-    p = p.withColumn("x", T.reply_fields(F.col("a"), ["sludge", "layout"])).withColumn("y", T.reply_fields(F.col("b"), ["sludge", "layout"]))
+    p = metrics.paired(runs(spark, sf_dir), "doc_id", "run", "reply", "serial", "batched")
+    p = p.withColumn("x", T.reply_fields(F.col("serial"), ["sludge", "layout"])).withColumn("y", T.reply_fields(F.col("batched"), ["sludge", "layout"]))
     field = lambda f: F.col(f"x.{f}").eqNullSafe(F.col(f"y.{f}"))
-    return metrics.agreement(p, "a", "b", F.col("a").eqNullSafe(F.col("b")), T.same_object(F.col("a"), F.col("b")), field("sludge"), field("layout"))
+    return metrics.agreement(p, F.col("serial").eqNullSafe(F.col("batched")), T.same_object(F.col("serial"), F.col("batched")), field("sludge"), field("layout"))
 
 
-@query(f"SELECT doc_id, a, b FROM (SELECT doc_id, {PAIR_A} AS a, {PAIR_B} AS b FROM documents) WHERE a IS DISTINCT FROM b ORDER BY doc_id LIMIT 5")
+@query(f"SELECT doc_id, a AS serial, b AS batched FROM ({RUNS_SQL}) WHERE a IS DISTINCT FROM b ORDER BY doc_id LIMIT 5")
 def ab_first_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.first_diffs(read(spark, sf_dir, "documents").select("doc_id", F.expr(PAIR_A).alias("a"), F.expr(PAIR_B).alias("b")), "a", "b", "doc_id")
+    return metrics.first_diffs(metrics.paired(runs(spark, sf_dir), "doc_id", "run", "reply", "serial", "batched"), "serial", "batched", "doc_id")
 
 
 @query("""WITH r AS (SELECT CAST(power(2, event_id % 4) AS INTEGER) AS batch_size, count(*) AS n_frames, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS DOUBLE) AS time_s FROM events GROUP BY 1)
@@ -365,14 +378,14 @@ def truncate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir, 64).select("conv_id", flat("input_ids").alias("ids"), flat("labels").alias("labels"))
 
 
-@query(f"""WITH {TOKENS_SQL}, x AS (SELECT conv_id, conv_id // 8 AS batch_id, ids[1:64] AS ids, labs[1:64] AS labs FROM m), y AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS n FROM x)
+@query(f"""WITH {TOKENS_SQL}, x AS (SELECT conv_id, conv_id // 8 AS batch_id, ids, labs FROM m), y AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS n FROM x)
 SELECT conv_id, batch_id, n::INTEGER AS batch_len, {_flat('list_resize(ids, n, 0)')} AS ids, {_flat('list_resize(labs, n, -100)')} AS labels, len(ids)::BIGINT AS n_attended FROM y""")
 def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = batches.padded(batches.with_batch(samples(spark, sf_dir), 8, "conv_id"), "batch_id", 0)
     return x.select("conv_id", "batch_id", "batch_len", flat("input_ids").alias("ids"), flat("labels").alias("labels"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, v: a + v).alias("n_attended"))
 
 
-@query(f"""WITH {TOKENS_SQL}, x AS (SELECT conv_id, ids[1:64] AS ids, labs[1:64] AS labs FROM m), y AS (SELECT *, coalesce(list_position(ids, -200), 0) AS p FROM x)
+@query(f"""WITH {TOKENS_SQL}, x AS (SELECT conv_id, ids, labs FROM m), y AS (SELECT *, coalesce(list_position(ids, -200), 0) AS p FROM x)
 SELECT conv_id, (len(ids) + CASE WHEN p > 0 THEN 31 ELSE 0 END)::INTEGER AS n_spliced, {_flat('CASE WHEN p > 0 THEN list_concat(list_concat(labs[1:p-1], [-100 for i in range(32)]), labs[p+1:]) ELSE labs END')} AS labels,
  {_flat('[greatest(i, 0) for i in ids]')} AS embeddable FROM y""")
 def splice_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.operators import conversations, features, labels, metrics, sampling
+from loomframe.operators import batches, conversations, features, labels, metrics, sampling
 from loomframe.operators.inference import Stub, encode_images, infer, infer_once
 
 
@@ -145,3 +145,22 @@ def test_encode_images(spark):
 
     got = rows(encode_images(df, make, queries=2), "idx")
     assert got == [("a", 0, True, [[49.0], [2.0]]), ("b", 1, False, None)]
+
+
+def test_places_over_many_ranges(spark, tmp_path):
+    """Several ranges, further columns, repeated keys; written out, so that every column takes part."""
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 5003).alias("k"), (F.col("id") % 3).alias("g"), F.col("id").alias("id"), F.concat(F.lit("t"), "id").alias("row"), F.col("id").alias("part"))
+    path = str(tmp_path / "n")
+    batches.numbered(rows, ["k"], rows_per_part=1000).write.parquet(path)
+    got = spark.read.parquet(path).toPandas()
+    assert sorted(got["ord"]) == list(range(20_000)) and got.sort_values("ord")["k"].is_monotonic_increasing and (got["row"] == "t" + got["id"].astype(str)).all() and (got["part"] == got["id"]).all()
+    path = str(tmp_path / "w")
+    batches.numbered_within(rows, "g", ["k", "id"], rows_per_part=1000).write.parquet(path)
+    got = spark.read.parquet(path).toPandas().sort_values(["g", "place"])
+    for _, x in got.groupby("g"):
+        assert list(x["place"]) == list(range(1, len(x) + 1)) and list(zip(x["k"], x["id"])) == sorted(zip(x["k"], x["id"]))
+
+
+def test_pairs_are_joined_by_key(spark):
+    runs = spark.createDataFrame([("a", "x", "1"), ("b", "x", "2"), ("b", "y", "3"), ("a", "y", "4"), ("c", "y", "5")], "key string, run string, reply string")
+    assert {tuple(r) for r in metrics.paired(runs, "key", "run", "reply", "x", "y").collect()} == {("a", "1", "4"), ("b", "2", "3")}
