@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, materialize, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loomframe-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["fresh_path", "materialize", "shared_dir"]
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -104,40 +88,79 @@ def split_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-_POW = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _POW.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(have, out=have)
-        _POW[base] = have
-    return have[:n]
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Ranges of up to so many bytes are hashed side by side, eight bytes at a step; longer ones one by one.
+SIDE = 1024
 
 
-BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; bytes past the end are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def run_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for many ranges at once, equal for equal bytes wherever they stand.
 
-    Polynomial over mixed bytes: prefix sums of value * base ** -position would need inverses, so the
-    sum is taken with base ** (n - position) and ranges are brought to a common exponent by multiplication.
+    Eight bytes at a time are mixed into the state, which starts from the length; ranges of over SIDE bytes take BLAKE2b.
     """
-    n = len(data)
+    size = end - start
+    h = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(size):
+        return h
+    view = _eights(data)
+    long = np.flatnonzero(size > SIDE)
+    most = int(np.where(size > SIDE, 0, size).max(initial=0))
+    live = np.flatnonzero(size <= SIDE) if most > 8 or len(long) else slice(None)
     with np.errstate(over="ignore"):
-        p = _powers(BASE1, n + 1)
-        table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE2))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * p[:n], out=total[1:])
-        # sum over [start, end) carries base ** start; multiply by base ** (n - start) to align all ranges
-        return mix64((total[end] - total[start]) * p[n - start] * _inverse_power(BASE1, n) + (end - start).astype(np.uint64))
+        for k in range(0, most, 8):
+            if k:
+                live = live[size[live] > k]
+            part = view[start[live] + k] & _TAIL[np.minimum(size[live] - k, 8)]
+            h[live] = mix64((h[live] ^ part) * _ODD + part)
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
-def _inverse_power(base: int, n: int) -> np.uint64:
-    """base ** -n modulo 2 ** 64 (base is odd), so that the hash does not depend on the buffer's length."""
-    return np.uint64(pow(pow(base, -1, 1 << 64), n, 1 << 64))
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def wide_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all stretches of `size` bytes (a multiple of 8), by first byte: hashes of stretches of 8, 16, 32, ... bytes, put together."""
+    if size % 8 or size < 8:
+        raise ValueError("size must be a multiple of 8")
+    out, done = None, 0
+    level, width = mix64(_eights(data)[: max(0, len(data) - 7)] + np.uint64(0x9E3779B97F4A7C15)), 8
+    with np.errstate(over="ignore"):
+        while True:
+            if size & width:
+                piece = level[done : done + max(0, len(data) - size + 1)]
+                out = piece.copy() if out is None else mix64(out * _ODD + piece)
+                done += width
+            if done == size:
+                return out
+            level = mix64(level[: max(0, len(level) - width)] * _ODD + level[width:])
+            width *= 2
+
+
+_libc = None
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, and at its end what the worker has freed goes back to the system: workers stay alive between stages."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        global _libc
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                _libc = _libc or ctypes.CDLL("libc.so.6")
+                _libc.malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps what it keeps
+                pass
+
+    return wrapped

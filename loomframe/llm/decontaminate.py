@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import run_hash, slices, split_words, table, text_bytes
+from .common import frugal, run_hash, slices, split_words, table, text_bytes
 from .fm_index import FMIndex
 
 WINDOW, SHARD, BLOCK = 13, 4 << 20, 4 << 20
@@ -159,7 +159,7 @@ def _pass(docs: DataFrame, windows: Windows, keep: list[str], first: bool) -> Da
                 yield pa.RecordBatch.from_arrays([*own, *new], names=[f.name for f in schema])
 
     columns = ["text", *keep] if first else [f.name for f in schema]
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(frugal(run), schema)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block: int = BLOCK) -> DataFrame:

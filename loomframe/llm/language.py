@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, table, text_bytes
+from .common import frugal, slices, table, text_bytes
 
 BITS = 16
 #: Language sets up to this size are fitted for every document, larger ones as long as they are better; iterations of each fit; weight of a count not seen.
@@ -71,7 +71,7 @@ def trigram_counts(docs: DataFrame) -> pd.DataFrame:
             g = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(g, pa.int32()), "n": pa.array(c[g], pa.int64())})
 
-    counted = docs.select("text", "lang").mapInArrow(count, "lang string, gram int, n long")
+    counted = docs.select("text", "lang").mapInArrow(frugal(count), "lang string, gram int, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
 
 
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 arrays += [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.map_(pa.string(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score", "mixture"])
 
-    return docs.select("text", *keep).mapInArrow(run, schema)
+    return docs.select("text", *keep).mapInArrow(frugal(run), schema)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, run_hash, slices, split_words, table, text_bytes
+from .common import frugal, materialize, mix64, run_hash, slices, split_words, table, text_bytes
 from .graph import components
 
 UNIVERSE, BANDS, ROWS, SEED = 20, 30, 5, 7
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                     keys.append(_band_hashes(circulant(s), bands, rows) if len(s) else [])
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(np.diff(cut), pa.int64()), "fa": pa.array(fa, pa.int64()), "fb": pa.array(fb, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fa long, fb long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), "doc_id long, n long, fa long, fb long, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": part.column(0), "shingles": pa.array([sets[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     # the candidates grow with the corpus: never broadcast, at any size
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi").mapInArrow(frugal(run), "node long, shingles binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     sized = (F.length("x") * 100 >= F.length("y") * percent) & (F.length("y") * 100 >= F.length("x") * percent)
-    return x.where(sized).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return x.where(sized).select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long")
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -221,7 +221,7 @@ def _links_in_groups(shared: DataFrame, label: DataFrame, sets: DataFrame, perce
         out += done()
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(frugal(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ encoded on their own. Distinct words are the lattice's unit:
 
 - explode the substrings of up to the longest piece's length, and join them to the piece table (a vocabulary, so of
   bounded size; broadcast): the edges of the lattice;
-- group the edges by word (they come out of the word's own partition: no further shuffle), and fold over them with
+- group the edges by word (they come out of the word's own partition, in its order: no further shuffle), and fold over them with
   `aggregate`: Viterbi for unigram models, the best piece sum; for merge models (BPE) the library's rule, merge the
   pair whose piece scores best, leftmost first, on a bit mask of the word's boundaries. Scores of a BPE model are merge
   ranks, not log likelihoods; their best sum is not what the library returns, so the fold follows the model's kind.
@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BASE1, _inverse_power, _powers, materialize, mix64, slices, table
+from .common import frugal, materialize, run_hash, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_ROWS, MASK_CHARS = 16384, 48
-#: Bytes that go to a Python worker at once; held by the JVM and the worker of each task.
-ARROW_BYTES = 4 << 20
+#: Rows of a file that share a dictionary; texts of LONG bytes and more do so by LONG_ROWS rows, so that a block's bytes are
+#: bounded too. Characters of a word that the mask's bits can hold.
+BLOCK_ROWS, LONG, LONG_ROWS, MASK_CHARS = 16384, 1 << 15, 64, 48
 SPACE = "▁"
 
 
@@ -108,13 +108,7 @@ class Cutter:
 
 def _hashes(u: np.ndarray, start: np.ndarray) -> np.ndarray:
     """64-bit hashes of the code points between neighbouring starts."""
-    n = len(u)
-    with np.errstate(over="ignore"):
-        p = _powers(BASE1, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(u.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-        a, b = start[:-1], start[1:]
-        return mix64((total[b] - total[a]) * p[n - a] * _inverse_power(BASE1, n) + (b - a).astype(np.uint64))
+    return run_hash(u.view(np.uint8), 4 * start[:-1], 4 * start[1:])
 
 
 def word_hash(words: list[str]) -> np.ndarray:
@@ -127,58 +121,82 @@ def in_lattice(word: str, single: frozenset[str], bound: frozenset[str]) -> bool
     return len(word) <= MASK_CHARS and (len(word) > 1 or word in single) and (not bound or bound.isdisjoint(word))
 
 
+class Known:
+    """Hashes met before: a sorted array and those not yet sorted in."""
+
+    def __init__(self) -> None:
+        self.sorted = np.zeros(0, np.uint64)
+
+    def new(self, h: np.ndarray) -> np.ndarray:
+        """Which of some sorted, distinct hashes are new; they are known from now on."""
+        at = np.searchsorted(self.sorted, h)
+        fresh = np.ones(len(h), bool)
+        inside = at < len(self.sorted)
+        fresh[inside] = self.sorted[at[inside]] != h[inside]
+        self.sorted = np.insert(self.sorted, at[fresh], h[fresh])
+        return fresh
+
+
 def _words(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """docs(text, block): (block, word), the distinct words of each block that the lattice encodes, once a task."""
     held = docs.sparkSession.sparkContext.broadcast((pieces.classes(), pieces.singles(), pieces.bound()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, (_, single, bound) = Cutter(held.value[0]), held.value
-        seen: dict[int, set[int]] = {}
+        seen: dict[int, Known] = {}
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 blocks = part.column(1).to_numpy()
                 joined, start, row, h = cutter(part.column(0).to_pylist())
-                for block in np.unique(blocks):
-                    if block not in seen:  # rows of a file come in order: earlier blocks are done
-                        seen = {block: set()} if len(seen) > 3 else {**seen, block: set()}
+                for block in np.unique(blocks[row]) if len(row) else ():
+                    if block not in seen:  # rows of a file come in order: blocks met long ago are done
+                        seen = {**dict(list(seen.items())[-7:]), block: Known()}
                     own = np.flatnonzero(blocks[row] == block)
                     u, at = np.unique(h[own], return_index=True)
-                    known = seen[block]
-                    new = [i for x, i in zip(u.tolist(), own[at].tolist(), strict=True) if x not in known]
-                    known.update(u.tolist())
+                    new = own[at[seen[block].new(u)]].tolist()
                     words = [joined[start[i] : start[i + 1]] for i in new]
                     words = [w for w in words if in_lattice(w, single, bound)]
                     yield pa.RecordBatch.from_pydict({"block": np.full(len(words), block), "word": pa.array(words, pa.string())})
 
-    return docs.select("text", "block").mapInArrow(run, "block long, word string")
+    return docs.select("text", "block").mapInArrow(frugal(run), "block long, word string")
 
 
 #: An edge as one number, the best merge the largest: rank, then the smaller start; 30, 6, 6 and 21 bits.
 _RANK, _START, _SIZE = 33, 27, 21
 
 
+def _masked(edge: Column, start: Column, size: Column) -> Column:
+    """An edge with the bits of the boundaries inside it and at its ends."""
+    left = lambda x, k: F.call_function("shiftleft", x, k)
+    one = F.lit(1).cast("long")
+    return F.struct(edge.alias("v"), left(left(one, size - 1) - one, start + 1).alias("inner"), left(left(one, size) + one, start).alias("ends"))
+
+
 def _merge_fold(edges: Column, n: Column) -> Column:
-    """The pieces that the merge rule leaves: edges, packed numbers, of a word with n characters.
+    """The pieces that the merge rule leaves: edges, packed numbers with masks, of a word with n characters.
 
     Bit i of the state is a boundary before character i. An edge is a merge of two neighbours if both its ends are
-    boundaries and just one lies inside.
+    boundaries and just one lies inside. Boundaries never come back, so a step keeps only edges of which both ends, and
+    something inside, still are.
     """
-    start = lambda v: (F.lit(63) - F.shiftright(v, _START).bitwiseAND(63)).cast("int")
-    size = lambda v: F.shiftright(v, _SIZE).bitwiseAND(63).cast("int")
     one = F.lit(1).cast("long")
-    inner = lambda v: F.call_function("shiftleft", F.call_function("shiftleft", one, size(v) - 1) - one, start(v) + 1)
-    ends = lambda v: F.call_function("shiftleft", one, start(v)).bitwiseOR(F.call_function("shiftleft", one, start(v) + size(v)))
-    known = F.transform(edges, lambda v: F.struct(v.alias("v"), inner(v).alias("inner"), ends(v).alias("ends")))
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    open_ends = lambda b, e: b.bitwiseAND(e["ends"]) == e["ends"]
+
+    def merge(state: Column, best: Column) -> Column:
+        alive = lambda b: F.filter(state["edges"], lambda e: open_ends(b, e) & (b.bitwiseAND(e["inner"]) != 0))
+        return once(state["b"].bitwiseAND(F.bitwise_not(best["inner"])), lambda b: F.struct(b.alias("b"), alive(b).alias("edges")))
 
     def step(state: Column, _: Column) -> Column:
-        open_ = F.filter(state["edges"], lambda e: (state["b"].bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state["b"].bitwiseAND(e["inner"])) == 1))
-        best = F.array_max(open_)
-        return F.struct(F.coalesce(state["b"].bitwiseAND(F.bitwise_not(best["inner"])), state["b"]).alias("b"), state["edges"].alias("edges"))
+        best = F.array_max(F.filter(state["edges"], lambda e: F.bit_count(state["b"].bitwiseAND(e["inner"])) == 1))
+        return F.when(F.size(state["edges"]) == 0, state).otherwise(once(best, lambda x: F.when(x.isNull(), state).otherwise(merge(state, x))))
 
     all_ = F.call_function("shiftleft", one, (n + 1).cast("int")) - one
-    final = F.aggregate(F.sequence(F.lit(1), n), F.struct(all_.alias("b"), known.alias("edges")), step)
-    kept = F.transform(F.array(final), lambda s: F.filter(s["edges"], lambda e: (s["b"].bitwiseAND(e["ends"]) == e["ends"]) & (s["b"].bitwiseAND(e["inner"]) == 0)))[0]
-    placed = F.array_sort(F.transform(kept, lambda e: F.struct(start(e["v"]).alias("start"), e["v"].bitwiseAND((1 << _SIZE) - 1).cast("int").alias("id"))))
+    merges = F.filter(edges, lambda e: e["inner"] != 0)
+    final = F.aggregate(F.sequence(F.lit(1), n), F.struct(all_.alias("b"), merges.alias("edges")), step, lambda s: s["b"])
+    # the pieces are the edges between neighbouring boundaries; smaller starts have larger numbers in these bits
+    kept = once(final, lambda b: F.filter(edges, lambda e: open_ends(b, e) & (b.bitwiseAND(e["inner"]) == 0)))
+    placed = F.sort_array(F.transform(kept, lambda e: F.struct(F.shiftright(e["v"], _START).bitwiseAND(63).alias("start"), e["v"].bitwiseAND((1 << _SIZE) - 1).cast("int").alias("id"))), asc=False)
     return F.transform(placed, lambda e: e["id"])
 
 
@@ -195,24 +213,30 @@ def _viterbi_fold(edges: Column, n: Column) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["ids"]
 
 
-def encode_words(words: DataFrame, pieces: Pieces, carry: str) -> DataFrame:
-    """words(word, carry), distinct, of up to MASK_CHARS characters: (word, carry, ids)."""
+def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """words(word), distinct, of up to MASK_CHARS characters, dealt by word: (word, ids).
+
+    Substrings meet the pieces by a 64-bit hash, one number to look up, and then byte by byte. A number for each word that
+    rises through a partition goes before the word in the grouping: edges come in its order, so nothing is left to sort.
+    """
     spark = words.sparkSession
     order = {s: k for k, s in enumerate(sorted({s for _, _, s in pieces.rows}))}  # the best score has the highest rank
     rows = [(p, i, s, order[s]) for p, i, s in pieces.rows]
-    piece_table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank long"))
-    starts = words.select("word", carry, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    sizes = starts.select("word", carry, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start")))).alias("size"))
-    subs = sizes.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
-    edges = subs.join(piece_table, "piece")
+    # a vocabulary: a model's, of fixed size
+    piece_table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank long").withColumn("key", F.xxhash64("piece")))
+    starts = words.select("word", F.monotonically_increasing_id().alias("no")).select("word", "no", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    sizes = starts.select("word", "no", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start")))).alias("size"))
+    subs = sizes.withColumn("sub", F.substring("word", F.col("start") + 1, F.col("size")))
+    edges = subs.withColumn("key", F.xxhash64("sub")).join(piece_table, "key").where(F.coalesce(F.startswith("sub", "piece") & F.startswith("piece", "sub"), F.lit(False)))
     if pieces.kind == "merge":
         long = lambda c, k: F.shiftleft(F.col(c).cast("long"), k)
         edge = long("rank", _RANK).bitwiseOR(F.shiftleft((F.lit(63) - F.col("start")).cast("long"), _START)).bitwiseOR(long("size", _SIZE)).bitwiseOR(F.col("id").cast("long"))
+        edge = _masked(edge, F.col("start"), F.col("size"))
     else:
         edge = F.struct("start", "size", "id", "score")
-    lattice = edges.groupBy("word").agg(F.first(carry).alias(carry), F.collect_list(edge).alias("edges"))
+    lattice = edges.groupBy("no", "word").agg(F.collect_list(edge).alias("edges"))
     fold = _merge_fold if pieces.kind == "merge" else _viterbi_fold
-    return lattice.select("word", carry, fold(F.col("edges"), F.length("word")).alias("ids"))
+    return lattice.select("word", fold(F.col("edges"), F.length("word")).alias("ids"))
 
 
 def merge_word(word: str, score: dict[str, tuple[float, int]]) -> list[tuple[str, int | None]]:
@@ -252,30 +276,39 @@ def best_path(word: str, score: dict[str, tuple[float, int]], longest: int) -> l
 
 
 def _entries(coded: DataFrame) -> DataFrame:
-    """coded(word, blocks, ids): (block, blob), the words of each block by hash with their ids, compressed; many words a row."""
+    """coded(block, word, ids): (block, blob), words of a block by hash with their ids, compressed; many words a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = word_hash(batch.column(0).to_pylist())
-            blocks, ids = batch.column(1), batch.column(2)
-            per = np.diff(blocks.offsets.to_numpy())
-            word, block = np.repeat(np.arange(len(per)), per), blocks.flatten().to_numpy()
+        held, rows = [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            x = pa.Table.from_batches(held).combine_chunks()
+            block = x.column("block").to_numpy()
+            h = word_hash(x.column("word").to_pylist())
+            ids = x.column("ids").chunk(0)
             n = np.diff(ids.offsets.to_numpy())
             first, flat = np.cumsum(n) - n, ids.flatten().to_numpy()
             order = np.argsort(block, kind="stable")
-            word, block = word[order], block[order]
-            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
-            for a, b in zip(cut, [*cut[1:], len(block)], strict=True):
-                w = word[a:b]
+            cut = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+            for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+                w = order[a:b]
                 m = n[w]
                 at = np.repeat(first[w] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
                 blob = np.array([len(w)], np.int64).tobytes() + h[w].tobytes() + m.astype(np.uint8).tobytes() + flat[at].astype(np.int32).tobytes()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([int(block[a])], pa.int64()), "blob": pa.array([z.compress(blob)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([int(block[w[0]])], pa.int64()), "blob": pa.array([z.compress(blob)], pa.binary())})
 
-    return coded.select("word", "blocks", "ids").mapInArrow(run, "block long, blob binary")
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= 200_000:
+                yield from done()
+                held, rows = [], 0
+        if held:
+            yield from done()
+
+    return coded.select("block", "word", "ids").mapInArrow(frugal(run), "block long, blob binary")
 
 
 def _read_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,7 +333,7 @@ def _packs(docs: DataFrame, keep: list[str]) -> DataFrame:
                         w.write_table(own)
                     yield pa.RecordBatch.from_pydict({"block": pa.array([int(blocks[a])], pa.int64()), "blob": pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())})
 
-    return docs.select("text", "block", *keep).mapInArrow(run, "block long, blob binary")
+    return docs.select("text", "block", *keep).mapInArrow(frugal(run), "block long, blob binary")
 
 
 class Speller:
@@ -335,20 +368,26 @@ def decode_rows(ids: np.ndarray, offsets: np.ndarray, speller: Speller) -> list[
     return [_spelled(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def _blocked(docs: DataFrame, keep: list[str]) -> DataFrame:
+    row = F.col("_metadata.row_index")
+    long = F.when(F.octet_length("text") >= LONG, F.floor(row / LONG_ROWS))
+    return docs.select("text", *keep, F.xxhash64("_metadata.file_path", F.floor(row / BLOCK_ROWS), long).alias("block"))
+
+
 def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
     """docs(text, keep...): keep..., n_tokens, ids, decoded (whether decoding the ids gives the text back).
 
     Null and empty texts have no ids. A text that holds U+2581 itself comes back with a space in its place: not decoded.
+    Very long texts are rows like others; repeated rows each have their ids. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     try:
-        blocked = docs.select("text", *keep, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block"))
+        blocked = _blocked(docs, keep)
     except AnalysisException:  # not a scan of files: make it one
-        docs = materialize(docs.select("text", *keep), "texts")
-        blocked = docs.select("text", *keep, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block"))
-    words = _words(blocked, pieces).groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    coded = encode_words(words, pieces, "blocks")
+        blocked = _blocked(materialize(docs.select("text", *keep), "texts"), keep)
+    # one shuffle by word: the distinct words are encoded where they lie, and the blocks that ask for them wait beside them
+    asked = _words(blocked, pieces).repartition("word")
+    coded = asked.join(encode_words(asked.select("word").distinct(), pieces).hint("merge"), "word")
     stream = _entries(coded).select("block", F.lit(0).alias("kind"), "blob").union(_packs(blocked, keep).select("block", F.lit(1).alias("kind"), "blob"))
     stream = stream.repartition("block").sortWithinPartitions("block", "kind")
     held = spark.sparkContext.broadcast((pieces.classes(), pieces.spellings(), pieces))
@@ -383,7 +422,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
                     column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                     yield from pa.Table.from_arrays([*rows.drop_columns(["text"]).columns, pa.array(per), column, pa.array(same)], names=[f.name for f in schema]).to_batches()
 
-    return stream.mapInArrow(run, schema)
+    return stream.mapInArrow(frugal(run), schema)
 
 
 class Rest:

@@ -12,8 +12,9 @@
    combined before the shuffle. No case is dropped; the results are the same.
 4. The repeated windows of a context are brought to each of its occurrences, and merged by document.
 
-The pipeline's stage also takes windows counted in words: WORDS words in a row with what stands between them. Their grams
-are WORD_GRAM words; the suffixes that are sorted are those of the words of an anchor's contexts.
+Windows can also be counted in words: WORDS words in a row with what stands between them. Their grams are WORD_GRAM
+words; the suffixes that are sorted are those of the words of an anchor's contexts. Several units of windows
+go through the steps together, so texts are read, and brought to their contexts, once.
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize, mix64, run_hash, slices, split_words, table, text_bytes
+from .common import frugal, materialize, mix64, run_hash, slices, split_words, table, text_bytes, wide_hashes
 from .suffix import suffix_order
 
 WIDTH, GRAM, CELL = 400, 32, 16
 #: The pipeline's shortest repeated passage, in words between white space; words of a gram.
 WORDS, WORD_GRAM = 51, 6
-#: Contexts of an anchor that one task sorts at most; bytes that are sorted together, about; bytes of a text
-#: that are searched for anchors at once.
-HOT, CHUNK, SEGMENT = 8192, 1 << 20, 4 << 20
+#: Contexts of an anchor that one task sorts at most; bytes that are sorted together, about; bytes of texts
+#: that are searched for anchors at once (about ten numbers for each byte are held).
+HOT, CHUNK, SEGMENT = 8192, 1 << 20, 1 << 19
 
 _SPACED = np.ones(256, bool)
 _SPACED[[32, *range(9, 14)]] = False
@@ -60,9 +61,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if not len(rows):
         return none
-    m = len(data) - GRAM + 1
-    at = np.arange(m)
-    h = run_hash(data, at, at + GRAM)
+    h = wide_hashes(data, GRAM)
     n = size[rows] - width + 1
     p = np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     of = np.repeat(rows, n)
@@ -142,18 +141,23 @@ class Words:
         return [_ranges(a, b) for a, b in repeated_word_windows(texts, self.words)]
 
 
-def _instances(docs: DataFrame, unit: Bytes | Words) -> DataFrame:
-    """docs(k1, k2, text): a row for each context, places relative to the document."""
+def _instances(docs: DataFrame, units: tuple[Bytes | Words, ...]) -> DataFrame:
+    """docs(k1, k2, text): a row for each context of each unit u, places relative to the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SEGMENT):
                 data, offsets = text_bytes(part.column(2))
                 k1, k2 = (part.column(i).to_numpy() for i in (0, 1))
-                for row, off, size, lead, anchor, ctx in unit.contexts(data, offsets, SEGMENT):
-                    yield pa.RecordBatch.from_pydict({"k1": k1[row], "k2": k2[row], "off": off, "len": size, "lead": lead, "anchor": anchor, "ctx": ctx})
+                for u, unit in enumerate(units):
+                    for row, off, size, lead, anchor, ctx in unit.contexts(data, offsets, SEGMENT):
+                        # the unit is part of the anchor: units never share one
+                        anchor = mix64(anchor.view(np.uint64) ^ np.uint64(u)).view(np.int64)
+                        small = [x.astype(np.int32) for x in (off, size, lead)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row], k2[row], np.full(len(row), u, np.int8), *small, anchor, ctx)], names=names)
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, off long, len long, lead long, anchor long, ctx long")
+    names = ["k1", "k2", "u", "off", "len", "lead", "anchor", "ctx"]
+    return docs.select("k1", "k2", "text").mapInArrow(frugal(run), "k1 long, k2 long, u byte, off int, len int, lead int, anchor long, ctx long")
 
 
 def repeated_windows(texts: list[bytes], leads: list[int], width: int = WIDTH) -> list[np.ndarray]:
@@ -264,126 +268,147 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return [{"a": int(x), "b": int(y)} for x, y in zip(start[np.append(0, gap + 1)], end[np.append(gap, len(end) - 1)], strict=True)]
 
 
-_RANGE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_RANGE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _sorted_contexts(bytes_: DataFrame, unit: Bytes | Words) -> DataFrame:
-    """bytes_(anchor, ctx, n, lead, bytes), whole anchors side by side in a partition: (anchor, ctx, ranges) where n = 1."""
+def _sorted_contexts(bytes_: DataFrame, units: tuple[Bytes | Words, ...]) -> DataFrame:
+    """bytes_(u, anchor, ctx, n, lead, bytes), whole anchors side by side in a partition: (anchor, ctx, ranges) where n = 1."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        marks = unit.repeated([r[4] for r in rows], [r[3] for r in rows])
-        kept = [(r[0], r[1], m) for r, m in zip(rows, marks, strict=True) if r[2] == 1 and len(m)]
+        marks = units[rows[0][0]].repeated([r[5] for r in rows], [r[4] for r in rows])
+        kept = [(r[1], r[2], m) for r, m in zip(rows, marks, strict=True) if r[3] == 1 and len(m)]
         return pa.RecordBatch.from_pydict({"anchor": pa.array([x[0] for x in kept], pa.int64()), "ctx": pa.array([x[1] for x in kept], pa.int64()), "ranges": pa.array([x[2] for x in kept], _RANGE)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if held >= CHUNK and r[0] != rows[-1][0]:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if rows and (r[0] != rows[-1][0] or held >= CHUNK and r[1] != rows[-1][1]):
                     yield solve(rows)
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[4])
+                held += len(r[5])
         if rows:
             yield solve(rows)
 
-    return bytes_.select("anchor", "ctx", "n", "lead", "bytes").mapInArrow(run, "anchor long, ctx long, ranges array<struct<a:long,b:long>>")
+    return bytes_.select("u", "anchor", "ctx", "n", "lead", "bytes").mapInArrow(frugal(run), "anchor long, ctx long, ranges array<struct<a:int,b:int>>")
 
 
-def _counted_contexts(bytes_: DataFrame, unit: Bytes | Words) -> DataFrame:
+def _counted_contexts(bytes_: DataFrame, units: tuple[Bytes | Words, ...]) -> DataFrame:
     """The same for anchors with very many contexts, by counting window hashes over the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, ctx, n, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for u, anchor, ctx, n, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 x = np.frombuffer(data, np.uint8)
-                a, b = unit.every(x)
+                a, b = units[u].every(x)
                 h = run_hash(x, a, b).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"anchor": np.full(len(a), anchor), "ctx": np.full(len(a), ctx), "n": np.full(len(a), n), "a": a, "b": b, "w": h})
+                yield pa.RecordBatch.from_pydict({"anchor": np.full(len(a), anchor), "ctx": np.full(len(a), ctx), "n": np.full(len(a), n), "a": a.astype(np.int32), "b": b.astype(np.int32), "w": h})
 
-    w = bytes_.select("anchor", "ctx", "n", "bytes").mapInArrow(run, "anchor long, ctx long, n long, a long, b long, w long")
-    twice = w.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w")
-    hit = w.where("n = 1").join(twice, "w", "left_semi")
+    w = bytes_.select("u", "anchor", "ctx", "n", "bytes").mapInArrow(frugal(run), "anchor long, ctx long, n long, a int, b int, w long")
+    twice = w.groupBy("anchor", "w").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "w")
+    hit = w.where("n = 1").join(twice, ["anchor", "w"], "left_semi")
     return hit.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
-def repeated_spans(keyed: DataFrame, unit: Bytes | Words) -> DataFrame:
-    """keyed(k1, k2, text), k1 and k2 a key of the row's id and text: (k1, k2, s), byte ranges of repeated windows, not merged."""
-    inst = materialize(_instances(keyed.where(F.octet_length("text") >= unit.least), unit), "contexts")
-    ctx = inst.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "off", "len", "lead")])
+def repeated_spans(keyed: DataFrame, *units: Bytes | Words) -> DataFrame:
+    """keyed(k1, k2, text), k1 and k2 a key of the row's id and text: (k1, k2, spans), distinct byte ranges (u, a, b) of repeated windows, not merged."""
+    inst = materialize(_instances(keyed.where(F.octet_length("text") >= min(x.least for x in units)), units), "contexts")
+    ctx = inst.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.first(F.struct("k1", "k2", "u", "off", "len", "lead")).alias("i")).select("anchor", "ctx", "n", "i.*")
     anchors = ctx.groupBy("anchor").agg(F.count("*").alias("d"), F.sum("n").alias("t")).where("t > 1")
     ctx = materialize(ctx.join(anchors, "anchor"), "repeated")
-    whole = ctx.where("n > 1").select("anchor", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("len").alias("b"))).alias("ranges"))
-    asked = ctx.where("d > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "n", "d", "lead", "off", "len")).alias("asked"))
+    whole = ctx.where("n > 1").select("anchor", "ctx", F.array(F.struct(F.lit(0).alias("a"), F.col("len").alias("b"))).alias("ranges"))
+    asked = ctx.where("d > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("u", "anchor", "ctx", "n", "d", "lead", "off", "len")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                out = []
-                for text, asked in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                    data = text.as_buffer().to_pybytes()
-                    out += [(x["anchor"], x["ctx"], x["n"], x["d"], x["lead"], data[x["off"] : x["off"] + x["len"]]) for x in asked]
-                names, kinds = ("anchor", "ctx", "n", "d", "lead", "bytes"), [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-
+            for part in slices(batch, "text", SEGMENT):
+                for text, asked in zip(part.column(0), part.column(1), strict=True):
+                    data, x = text.as_buffer().to_pybytes(), asked.values
+                    of = {f: x.field(f) for f in ("u", "anchor", "ctx", "n", "d", "lead")}
+                    at = zip(x.field("off").to_pylist(), x.field("len").to_pylist(), strict=True)
+                    yield pa.RecordBatch.from_arrays([*of.values(), pa.array([data[a : a + n] for a, n in at], pa.binary())], names=[*of, "bytes"])
+
+    # a key with several rows has one text: its contexts are cut once
     texts = keyed.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("text", "asked")
-    mixed = texts.mapInArrow(cut, "anchor long, ctx long, n long, d long, lead long, bytes binary")
+    mixed = texts.mapInArrow(frugal(cut), "u byte, anchor long, ctx long, n long, d long, lead int, bytes binary")
     mixed = materialize(mixed, "bytes")
-    near = mixed.where(F.col("d") <= HOT).repartition("anchor").sortWithinPartitions("anchor", "ctx", "n")
-    found = whole.union(_sorted_contexts(near, unit)).union(_counted_contexts(mixed.where(F.col("d") > HOT), unit))
-    # rows that share id and text have one key: their spans are the same
-    return inst.join(found, ["anchor", "ctx"]).select("k1", "k2", F.transform("ranges", lambda r: F.struct((F.col("off") + r["a"]).alias("start"), (F.col("off") + r["b"]).alias("end"))).alias("s"))
+    near = mixed.where(F.col("d") <= HOT).repartition("anchor").sortWithinPartitions("u", "anchor", "ctx", "n")
+    found = whole.union(_sorted_contexts(near, units)).union(_counted_contexts(mixed.where(F.col("d") > HOT), units))
+    # `found` has a row for each context, `inst` one for each occurrence: a context with very many is a skewed side that AQE splits
+    placed = inst.select("k1", "k2", "u", "off", "anchor", "ctx").join(found, ["anchor", "ctx"]).select("k1", "k2", "u", "off", F.explode("ranges").alias("r"))
+    span = F.struct("u", (F.col("off") + F.col("r.a")).alias("a"), (F.col("off") + F.col("r.b")).alias("b"))
+    # rows that share id and text have the same spans: each is taken once, before the shuffle too
+    return placed.groupBy("k1", "k2").agg(F.collect_set(span).alias("spans"))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-def _cut_out(docs: DataFrame, keep: list[str], *units: Bytes | Words) -> DataFrame:
-    """keep... plus n_bytes, spans (merged), kept (binary): without the repeated windows of any unit."""
+def without_repeats(docs: DataFrame, keep: list[str], *units: Bytes | Words, cut: int | None = None) -> DataFrame:
+    """docs(doc_id, text, keep...): keep..., n_bytes, n_removed, n_spans, spans (merged), rest (binary), kept_sha256: texts without the repeated windows of the first `cut` units (all, if None); passages, passage_bytes: number and bytes of the other units' merged windows."""
     keyed = docs.withColumns({"k1": F.xxhash64(F.lit(1), "doc_id", "text"), "k2": F.xxhash64(F.lit(2), "text", "doc_id")})
-    found = repeated_spans(keyed, units[0])
-    for unit in units[1:]:
-        found = found.union(repeated_spans(keyed, unit))
-    spans = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans"))
-    schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>, rest binary, kept_sha256 string")])
+    first = len(units) if cut is None else cut
+    added = "n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>, rest binary, kept_sha256 string, passages long, passage_bytes long"
+    schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL(added)])
+    kinds = [pa.int64()] * 3 + [_RANGE, pa.binary(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                out: list[list] = [[], [], [], [], [], []]
-                for text, spans in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+            for part in slices(batch, "text", 1 << 20):
+                out: list[list] = [[] for _ in kinds]
+                for text, spans in zip(part.column(0), part.column(1), strict=True):
                     data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    merged: list[list[int]] = []
-                    for a, b in sorted({(s["start"], s["end"]) for s in spans or ()}):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
+                    own, other = [], []
+                    if spans.is_valid:
+                        for u, a, b in zip(*(spans.values.field(f).to_pylist() for f in ("u", "a", "b")), strict=True):
+                            (own if u < first else other).append((a, b))
+                    merged, more = _merged(own), _merged(other)
                     rest, at = [], 0
                     for a, b in merged:
                         rest.append(data[at:a])
                         at = b
                     kept = b"".join([*rest, data[at:]])
-                    for x, v in zip(out, (len(data), len(data) - len(kept), len(merged), [{"a": a, "b": b} for a, b in merged], kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                    found = (len(data), len(data) - len(kept), len(merged), [{"a": a, "b": b} for a, b in merged], kept, hashlib.sha256(kept).hexdigest(), len(more), sum(b - a for a, b in more))
+                    for x, v in zip(out, found, strict=True):
                         x.append(v)
-                kinds = [pa.int64()] * 3 + [_RANGE, pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=[f.name for f in schema])
 
-    return keyed.join(spans, ["k1", "k2"], "left").select("text", "spans", *keep).mapInArrow(run, schema)
+    return keyed.join(repeated_spans(keyed, *units), ["k1", "k2"], "left").select("text", "spans", *keep).mapInArrow(frugal(run), schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 400-byte strings that also start elsewhere. Null text: empty."""
+    """Every document without the bytes of 400-byte strings that also start elsewhere.
+
+    Null text: empty. Texts under 400 bytes and empty ones lose nothing; equal texts, and rows given twice, lose all that is
+    400 bytes long or more; very long texts go in pieces that overlap. Null and repeated doc_ids are rows like others.
+    An empty table gives no rows.
+
+    Passages of over 50 words can be shorter than 400 bytes and then stay, as the 400 bytes say. has_passage (with
+    n_passages and passage_bytes) tells which documents hold passages of 51 words that also start elsewhere, whatever their bytes.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _cut_out(docs, ["doc_id"], Bytes(WIDTH)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = without_repeats(docs, ["doc_id"], Bytes(WIDTH), Words(WORDS), cut=1)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("passages") > 0).alias("has_passage"), F.col("passages").alias("n_passages"), "passage_bytes")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: passages of 51 words, and of 400 bytes, that also start elsewhere leave the texts; a text of which nothing is left goes, one that was empty stays.
 
-    A cut can fall inside a character; such broken ends are dropped. n_chars follows the text.
+    A cut can fall inside a character; such broken ends are dropped. n_chars follows the text. Null and empty texts, null and
+    repeated ids stay as they are; rows with equal texts (an earlier stage leaves one of each) lose all of them.
     """
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    out = _cut_out(whole, ["row"], Bytes(WIDTH), Words(WORDS)).where("n_removed = 0 OR n_removed < n_bytes")
+    out = without_repeats(whole, ["row"], Bytes(WIDTH), Words(WORDS)).where("n_removed = 0 OR n_removed < n_bytes")
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.expr("try_validate_utf8(cast(rest as string))"))
-    text = F.coalesce(text, F.when(F.col("n_removed") > 0, F.expr("replace(make_valid_utf8(cast(rest as string)), '�', '')")))
+    text = F.coalesce(text, F.when(F.col("n_removed") > 0, F.expr("replace(make_valid_utf8(cast(rest as string)), '\ufffd', '')")))
     fixed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
     return out.select(*[fixed[c].alias(c) if c in fixed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

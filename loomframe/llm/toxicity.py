@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .boosting import Boosted, Isotonic
-from .common import materialize, slices, table
+from .common import frugal, materialize, slices, table
 from .language import is_test
 
 #: Bound of the labelled sample; entries of the learned lexicon at most; documents that an entry must be in.
@@ -114,7 +114,7 @@ def _map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], C
                 new = f(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *new.values()], names=[*keep, *new])
 
-    return df.select("text", *keep).mapInArrow(run, added)
+    return df.select("text", *keep).mapInArrow(frugal(run), added)
 
 
 class ToxicityModel:
