@@ -6,8 +6,8 @@ text is cut at other pairs and runs shorter than the shortest window are left ou
 are searched backwards through the wavelet tree, occurrences are located by sampled suffix positions, and the words
 they cover are merged into removal spans.
 
-The benchmark is compiled in blocks of BLOCK bytes; each block is one pass over the shard, carrying the spans of the
-blocks before it, so a large benchmark costs time, not memory. Words are compared by 64-bit hashes of their bytes.
+The benchmark is compiled in blocks of BLOCK characters; each block is one pass over the shards, and what the passes find is
+united by row, so a large benchmark costs time, not memory. Words are compared by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import frugal, run_hash, slices, split_words, table, text_bytes
+from .common import frugal, materialize, run_hash, slices, split_words, table, text_bytes
 from .fm_index import FMIndex
 
 WINDOW, SHARD, BLOCK = 13, 4 << 20, 4 << 20
@@ -118,12 +118,13 @@ def _merge(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-_ADDED = "n_words long, words array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>, items array<string>"
+_FOUND = "n_words long, words array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _pass(docs: DataFrame, windows: Windows, keep: list[str], first: bool) -> DataFrame:
+def _pass(docs: DataFrame, windows: Windows, keep: list[str]) -> DataFrame:
+    """docs(text, keep...): keep... plus n_words, words, spans and items under one block of the benchmark."""
     held = docs.sparkSession.sparkContext.broadcast(windows)
-    schema = StructType([*docs.select("text", *keep).schema, *StructType.fromDDL(_ADDED)])
+    schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL(_FOUND)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
@@ -136,46 +137,67 @@ def _pass(docs: DataFrame, windows: Windows, keep: list[str], first: bool) -> Da
                 order = np.argsort(row[at], kind="stable")
                 at, window = at[order], window[order]
                 cut = np.searchsorted(row[at], np.arange(part.num_rows + 1))
-                old = [None] * part.num_rows if first else list(zip(part.column(part.num_columns - 3).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True))
                 words, spans, items = [], [], []
                 for i in range(part.num_rows):
                     a, b = cut[i], cut[i + 1]
-                    had = old[i]
-                    if a == b and not had:
+                    if a == b:
                         words.append([]), spans.append([]), items.append([])
                         continue
                     s = at[a:b] - base[i]
-                    e = s + w.lengths[window[a:b]]
-                    ids = {x for k in set(window[a:b].tolist()) for x in w.items[k]}
-                    if had:
-                        s, e = np.append(s, [x["start"] for x in had[0]]).astype(np.int64), np.append(e, [x["end"] for x in had[0]]).astype(np.int64)
-                        ids |= set(had[1])
-                    merged = _merge(s, e)
+                    merged = _merge(s, s + w.lengths[window[a:b]])
                     words.append([{"start": x, "end": y} for x, y in merged])
                     spans.append([{"start": int(start[base[i] + x] - offsets[i]), "end": int(end[base[i] + y - 1] - offsets[i])} for x, y in merged])
-                    items.append(sorted(ids))
-                own = part.columns if first else part.columns[:-4]
+                    items.append(sorted({x for k in set(window[a:b].tolist()) for x in w.items[k]}))
                 new = [pa.array(np.diff(base), pa.int64()), pa.array(words, pa.list_(_SPAN)), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*own, *new], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=[f.name for f in schema])
 
-    columns = ["text", *keep] if first else [f.name for f in schema]
-    return docs.select(*columns).mapInArrow(frugal(run), schema)
+    return docs.select("text", *keep).mapInArrow(frugal(run), schema)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """docs(text, keep...) plus n_words, words and spans (hit ranges in words and in UTF-8 bytes) and items (ids, as strings).
+def _united(parts: Column) -> Column:
+    """Sorted lists of ranges as one list of ranges that neither overlap nor touch."""
+    last = lambda a: F.element_at(a, -1)
 
-    benchmark(item_id, text): items without id or words take no part; an id given twice is one item with both texts.
-    """
-    out, size, held, first = docs, 0, [], True
+    def add(a: Column, x: Column) -> Column:
+        grown = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"))))
+        return F.when((F.size(a) > 0) & (x["start"] <= F.try_element_at(a, F.lit(-1))["end"]), grown).otherwise(F.concat(a, F.array(x)))
+
+    return F.aggregate(F.array_sort(F.flatten(parts)), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), add)
+
+
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in blocks of about `block` characters, one at a time on the driver."""
+    held, size = [], 0
     for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
         held.append((r["item"], r["text"]))
         size += len(r["text"])
         if size >= block:
-            out, first, held, size = _pass(out, Windows(held, window), keep, first), False, [], 0
-    if held or first:
-        out = _pass(out, Windows(held, window), keep, first)
-    return out
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """docs(text, keep...): keep... plus n_words, words and spans (hit ranges in words and in UTF-8 bytes) and items (ids, as strings).
+
+    benchmark(item_id, text): items without id or words take no part; an id given twice is one item with both texts.
+    A benchmark of several blocks takes a pass for each, one after another; a pass writes the rows that it hits, and these are
+    united by row at the end. So a task holds one block at a time, whatever the benchmark's size.
+    """
+    blocks = _blocks(benchmark, block)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _pass(docs, Windows(first, window), keep)
+    rows = materialize(docs.select("text", F.struct(*keep).alias("row"), F.monotonically_increasing_id().alias("id")), "rows")
+    found = materialize(_pass(rows, Windows(first, window), ["id"]), "found")
+    counted, hit = found.select("id", "n_words"), found.where(F.size("items") > 0)
+    for items in (x for xs in ((second,), blocks) for x in xs):
+        hit = hit.union(materialize(_pass(rows, Windows(items, window), ["id"]).where(F.size("items") > 0), "found"))
+    lists = [F.collect_list(c).alias(c) for c in ("words", "spans", "items")]
+    hit = hit.groupBy("id").agg(*lists).select("id", _united(F.col("words")).alias("words"), _united(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    none = [F.coalesce(c, F.expr(f"cast(array() as {hit.schema[c].dataType.simpleString()})")).alias(c) for c in ("words", "spans", "items")]
+    return rows.select("id", "row").join(counted, "id").join(hit, "id", "left").select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "n_words", *none)
 
 
 def hits(found: DataFrame) -> DataFrame:
@@ -194,14 +216,18 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against every benchmark item. Null text: no words. An empty benchmark: no hits."""
+    """Every document against every benchmark item.
+
+    Null, empty and wordless texts: no words, no hits, not contaminated. An empty benchmark: no hits. Very long texts are a shard
+    of their own. Null and repeated doc_ids are rows like others; an empty table gives no rows.
+    """
     found = hits(find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the contamination rule marks go; all others stay as they are."""
+    """Pipeline stage: documents that the contamination rule marks go; all others, null and empty texts too, stay as they are."""
     whole = docs.select("text", F.struct(*docs.columns).alias("row"))
     return hits(find_passages(whole, table(spark, sf_dir, "benchmark"), ["row"])).where(~F.col("contaminated")).select("row.*")
 

@@ -3,7 +3,7 @@
 A document's words are drawn from a mixture of languages: a word's likelihood in a language is that of its byte
 trigrams (word edges included) under the language's trigram distribution, counted over all training documents. For
 each document, expectation-maximisation estimates the language proportions; sets of the 1, 2, ... likeliest languages
-are fitted again, until a set of more than MAX_SET is no better or all languages are in, and the set with the best
+are fitted again, until a set of more than LOOK is no better or all languages are in, and the set with the best
 likelihood minus half a log(words) for each further language is kept.
 The prediction is the language with the largest share, the score is that share.
 
@@ -24,8 +24,9 @@ from pyspark.sql.types import StructType
 from .common import frugal, slices, table, text_bytes
 
 BITS = 16
-#: Language sets up to this size are fitted for every document, larger ones as long as they are better; iterations of each fit; weight of a count not seen.
-MAX_SET, ITERATIONS, ALPHA = 3, 8, 0.05
+#: Language sets up to this size are fitted for every document, larger ones as long as they are better; a document's fit ends
+#: when no share moves by more than STILL (the likelihood never falls, so it does); weight of a count not seen.
+LOOK, STILL, ALPHA = 3, 1e-3, 0.05
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -100,35 +101,44 @@ class Model:
         has, start, words = np.unique(row, return_index=True, return_counts=True)
         doc = np.repeat(np.arange(len(has)), words)
 
-        def fit(mask: np.ndarray, rounds: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-            """EM over the languages in mask (docs x languages), of some docs or all: (shares, log likelihood)."""
-            own, at, doc_, words_ = like, start, doc, words
-            if of is not None:
-                some = np.zeros(len(has), bool)
-                some[of] = True
-                own, words_ = like[some[doc]], words[of]
-                at, doc_ = np.cumsum(words_) - words_, np.repeat(np.arange(len(of)), words_)
+        def part(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(likelihoods, first word, document of each word, words) of some documents, given in order."""
+            if len(of) == len(has):
+                return like, start, doc, words
+            some = np.zeros(len(has), bool)
+            some[of] = True
+            n = words[of]
+            return like[some[doc]], np.cumsum(n) - n, np.repeat(np.arange(len(of)), n), n
+
+        def fit(mask: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """EM over the languages in mask (some documents x languages): (shares, log likelihood)."""
             share = mask / mask.sum(axis=1, keepdims=True)
-            for _ in range(rounds):
-                r = own * share.astype(np.float32)[doc_]
+            left = np.flatnonzero(mask.sum(axis=1) > 1)
+            while len(left):
+                own, at, doc_, n = part(of[left])
+                r = own * share[left].astype(np.float32)[doc_]
                 r /= r.sum(axis=1, keepdims=True) + np.float32(1e-30)
-                share = np.add.reduceat(r, at, axis=0, dtype=np.float64) / words_[:, None]
+                new = np.add.reduceat(r, at, axis=0, dtype=np.float64) / n[:, None]
+                moved = np.abs(new - share[left]).max(axis=1) > STILL
+                share[left] = new
+                left = left[moved]
+            own, at, doc_, _ = part(of)
             mix = (own * share.astype(np.float32)[doc_]).sum(axis=1, dtype=np.float64)
             return share, np.add.reduceat(np.log(mix + 1e-30), at)
 
-        every, _ = fit(np.ones((len(has), m)), ITERATIONS)
+        every, _ = fit(np.ones((len(has), m)), np.arange(len(has)))
         order = np.argsort(-every, axis=1, kind="stable")
         best, kept = np.full(len(has), -np.inf), every.copy()
         left = np.arange(len(has))
         for size in range(1, m + 1):
             mask = np.zeros((len(left), m))
             np.put_along_axis(mask, order[left, :size], 1.0, axis=1)
-            share, ll = fit(mask, ITERATIONS if size > 1 else 0, left if len(left) < len(has) else None)
+            share, ll = fit(mask, left)
             value = ll - 0.5 * (size - 1) * np.log(np.maximum(words[left], 2))
             better = value > best[left]
             best[left[better]] = value[better]
             kept[left[better]] = share[better]
-            if size >= MAX_SET:
+            if size >= LOOK:
                 left = left[better]
             if not len(left):
                 break

@@ -4,8 +4,8 @@
    function of the window's bytes, so equal windows have equal anchors at equal places. A maximal run of windows with
    one anchor is a context. Contexts are counted by (anchor, hash): a context that occurs twice is repeated as a whole,
    an anchor that occurs once has no repeated window. Both counts are combined before the shuffle.
-2. Suffix sorting. Where an anchor has several different contexts, their bytes (each context once) are cut into cells of
-   16 bytes in line with the anchor, and the cells' suffixes are sorted by linear grouping over Lyndon prefixes. Neighbours
+2. Suffix sorting. Where an anchor has several different contexts, those that share half a window left or right of it
+   with another (each context once) are cut into cells of 16 bytes in line with the anchor, and the cells' suffixes are sorted by linear grouping over Lyndon prefixes. Neighbours
    that share width / 16 - 1 cells form the classes of windows that can be equal; the bytes left and right of
    the shared cells, 16 in all, decide which are.
 3. An anchor with more than HOT contexts is not gathered in one task: hashes of all its windows are counted instead,
@@ -20,6 +20,7 @@ go through the steps together, so texts are read, and brought to their contexts,
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,6 +113,12 @@ class Bytes:
         p = np.arange(len(data) - self.width + 1)
         return p, p + self.width
 
+    def sides(self, data: bytes, lead: int) -> tuple[bytes | None, bytes | None]:
+        """What stands left and right of the anchor, half a window each: every window holds one of them whole."""
+        half = (self.width - GRAM + 1) // 2
+        end = lead + GRAM + half
+        return data[lead - half : lead] if lead >= half else None, data[end - half : end] if end <= len(data) else None
+
     def repeated(self, texts: list[bytes], leads: list[int]) -> list[list[dict]]:
         return [_ranges(p, p + self.width) for p in repeated_windows(texts, leads, self.width)]
 
@@ -137,27 +144,34 @@ class Words:
         start, end, _ = split_words(data, np.array([0, len(data)]), _SPACED)
         return start[: len(start) - self.words + 1], end[self.words - 1 :]
 
+    def sides(self, data: bytes, lead: int) -> tuple[bytes | None, bytes | None]:
+        half = (self.words - WORD_GRAM + 1) // 2
+        left, right = data[:lead].split()[-half:], data[lead:].split(None, WORD_GRAM + half)[WORD_GRAM : WORD_GRAM + half]
+        return b" ".join(left) if len(left) == half else None, b" ".join(right) if len(right) == half else None
+
     def repeated(self, texts: list[bytes], leads: list[int]) -> list[list[dict]]:
         return [_ranges(a, b) for a, b in repeated_word_windows(texts, self.words)]
 
 
 def _instances(docs: DataFrame, units: tuple[Bytes | Words, ...]) -> DataFrame:
-    """docs(k1, k2, text): a row for each context of each unit u, places relative to the document."""
+    """docs(k1, k2, text): the contexts of each unit u by document (of very long ones by pieces), places relative to the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SEGMENT):
                 data, offsets = text_bytes(part.column(2))
-                k1, k2 = (part.column(i).to_numpy() for i in (0, 1))
                 for u, unit in enumerate(units):
                     for row, off, size, lead, anchor, ctx in unit.contexts(data, offsets, SEGMENT):
                         # the unit is part of the anchor: units never share one
                         anchor = mix64(anchor.view(np.uint64) ^ np.uint64(u)).view(np.int64)
-                        small = [x.astype(np.int32) for x in (off, size, lead)]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[row], k2[row], np.full(len(row), u, np.int8), *small, anchor, ctx)], names=names)
+                        of, first = np.unique(row, return_index=True)
+                        cut = pa.array(np.append(first, len(row)), pa.int32())
+                        lists = [pa.ListArray.from_arrays(cut, pa.array(x, k)) for x, k in ((off, pa.int32()), (size, pa.int32()), (lead, pa.int32()), (anchor, pa.int64()), (ctx, pa.int64()))]
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(np.full(len(of), u), pa.int8()), *lists], names=names)
 
     names = ["k1", "k2", "u", "off", "len", "lead", "anchor", "ctx"]
-    return docs.select("k1", "k2", "text").mapInArrow(frugal(run), "k1 long, k2 long, u byte, off int, len int, lead int, anchor long, ctx long")
+    kinds = "k1 long, k2 long, u byte, off array<int>, len array<int>, lead array<int>, anchor array<long>, ctx array<long>"
+    return docs.select("k1", "k2", "text").mapInArrow(frugal(run), kinds)
 
 
 def repeated_windows(texts: list[bytes], leads: list[int], width: int = WIDTH) -> list[np.ndarray]:
@@ -275,7 +289,12 @@ def _sorted_contexts(bytes_: DataFrame, units: tuple[Bytes | Words, ...]) -> Dat
     """bytes_(u, anchor, ctx, n, lead, bytes), whole anchors side by side in a partition: (anchor, ctx, ranges) where n = 1."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        marks = units[rows[0][0]].repeated([r[5] for r in rows], [r[4] for r in rows])
+        unit = units[rows[0][0]]
+        # a window that two contexts share has half of it on one side of the anchor: contexts that share neither side have none
+        sides = [[(r[1], k, x) for k, x in enumerate(unit.sides(r[5], r[4])) if x is not None] for r in rows]
+        count = Counter(x for s in sides for x in s)
+        rows = [r for r, s in zip(rows, sides, strict=True) if any(count[x] > 1 for x in s)]
+        marks = unit.repeated([r[5] for r in rows], [r[4] for r in rows]) if len(rows) > 1 else [()] * len(rows)
         kept = [(r[1], r[2], m) for r, m in zip(rows, marks, strict=True) if r[3] == 1 and len(m)]
         return pa.RecordBatch.from_pydict({"anchor": pa.array([x[0] for x in kept], pa.int64()), "ctx": pa.array([x[1] for x in kept], pa.int64()), "ranges": pa.array([x[2] for x in kept], _RANGE)})
 
@@ -314,12 +333,17 @@ def _counted_contexts(bytes_: DataFrame, units: tuple[Bytes | Words, ...]) -> Da
 
 def repeated_spans(keyed: DataFrame, *units: Bytes | Words) -> DataFrame:
     """keyed(k1, k2, text), k1 and k2 a key of the row's id and text: (k1, k2, spans), distinct byte ranges (u, a, b) of repeated windows, not merged."""
-    inst = materialize(_instances(keyed.where(F.octet_length("text") >= min(x.least for x in units)), units), "contexts")
-    ctx = inst.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.first(F.struct("k1", "k2", "u", "off", "len", "lead")).alias("i")).select("anchor", "ctx", "n", "i.*")
+    lists = materialize(_instances(keyed.where(F.octet_length("text") >= min(x.least for x in units)), units), "contexts")
+    inst = lists.select("k1", "k2", "u", F.explode(F.arrays_zip("off", "len", "lead", "anchor", "ctx")).alias("c")).select("k1", "k2", "u", "c.*")
+    # two numbers for four: rows of a shuffle are as wide as they have columns
+    place = F.shiftleft(F.col("off").cast("long"), 8).bitwiseOR(F.col("u").cast("long"))
+    reach = F.shiftleft(F.col("len").cast("long"), 32).bitwiseOR(F.col("lead").cast("long"))
+    ctx = inst.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first(place).alias("place"), F.first(reach).alias("reach"))
     anchors = ctx.groupBy("anchor").agg(F.count("*").alias("d"), F.sum("n").alias("t")).where("t > 1")
-    ctx = materialize(ctx.join(anchors, "anchor"), "repeated")
+    at = [F.col("place").bitwiseAND(255).cast("byte").alias("u"), F.shiftright("place", 8).cast("int").alias("off"), F.shiftright("reach", 32).cast("int").alias("len"), F.col("reach").bitwiseAND((1 << 32) - 1).cast("int").alias("lead")]
+    ctx = materialize(ctx.join(anchors, "anchor").select("anchor", "ctx", "n", "d", "k1", *at), "repeated")
     whole = ctx.where("n > 1").select("anchor", "ctx", F.array(F.struct(F.lit(0).alias("a"), F.col("len").alias("b"))).alias("ranges"))
-    asked = ctx.where("d > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("u", "anchor", "ctx", "n", "d", "lead", "off", "len")).alias("asked"))
+    asked = ctx.where("d > 1").groupBy("k1").agg(F.collect_list(F.struct("u", "anchor", "ctx", "n", "d", "lead", "off", "len")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,11 +351,15 @@ def repeated_spans(keyed: DataFrame, *units: Bytes | Words) -> DataFrame:
                 for text, asked in zip(part.column(0), part.column(1), strict=True):
                     data, x = text.as_buffer().to_pybytes(), asked.values
                     of = {f: x.field(f) for f in ("u", "anchor", "ctx", "n", "d", "lead")}
-                    at = zip(x.field("off").to_pylist(), x.field("len").to_pylist(), strict=True)
-                    yield pa.RecordBatch.from_arrays([*of.values(), pa.array([data[a : a + n] for a, n in at], pa.binary())], names=[*of, "bytes"])
-
-    # a key with several rows has one text: its contexts are cut once
-    texts = keyed.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("text", "asked")
+                    off, size = x.field("off").to_numpy(), x.field("len").to_numpy()
+                    own = off + size <= len(data)
+                    own[own] = run_hash(np.frombuffer(data, np.uint8), off[own], off[own] + size[own]).view(np.int64) == x.field("ctx").to_numpy()[own]
+                    rows = pa.RecordBatch.from_arrays([*of.values(), pa.array([data[a : a + n] for a, n in zip(off.tolist(), size.tolist(), strict=True)], pa.binary())], names=[*of, "bytes"])
+                    yield rows.filter(pa.array(own))
+
+    # rows that share id and text share k1, and another row might: a context comes from rows that have it. One that comes
+    # twice has n > 1, so no window is asked for on its account
+    texts = keyed.select("k1", "text").join(asked, "k1").select("text", "asked")
     mixed = texts.mapInArrow(frugal(cut), "u byte, anchor long, ctx long, n long, d long, lead int, bytes binary")
     mixed = materialize(mixed, "bytes")
     near = mixed.where(F.col("d") <= HOT).repartition("anchor").sortWithinPartitions("u", "anchor", "ctx", "n")
@@ -412,3 +440,24 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     text = F.coalesce(text, F.when(F.col("n_removed") > 0, F.expr("replace(make_valid_utf8(cast(rest as string)), '\ufffd', '')")))
     fixed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
     return out.select(*[fixed[c].alias(c) if c in fixed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+#: Windows of 400 bytes as 800 hexadecimal digits, windows of 51 words by their first and last byte; u: 0 the former, 1 the latter.
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT r, i AS a, i + 400 AS b, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800)),
+tok AS (SELECT r, unnest(ts) AS s, generate_subscripts(ts, 1) AS k FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts FROM d)),
+ends AS MATERIALIZED (SELECT r, s, k, sum(strlen(s)) OVER (PARTITION BY r ORDER BY k)::BIGINT AS e FROM tok),
+word AS (SELECT r, e - strlen(s) AS a, e AS b, k FROM ends WHERE NOT regexp_matches(s, '^[\x20\x09-\x0D]')),
+win AS (SELECT r, a, b FROM (SELECT r, a, lead(b, 50) OVER (PARTITION BY r ORDER BY k) AS b FROM word) WHERE b IS NOT NULL),
+v AS MATERIALIZED (SELECT win.r, a, b, md5(substr(x, 2 * a + 1, 2 * (b - a))) AS h FROM win JOIN d ON win.r = d.r),
+hit AS MATERIALIZED (SELECT 0 AS u, r, a, b FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) UNION ALL SELECT 1, r, a, b FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
+run AS (SELECT u, r, a, b, sum(CASE WHEN a <= p THEN 0 ELSE 1 END) OVER (PARTITION BY u, r ORDER BY a) AS g FROM (SELECT *, lag(b) OVER (PARTITION BY u, r ORDER BY a) AS p FROM hit)),
+span AS MATERIALIZED (SELECT u, r, min(a) AS a, max(b) AS b FROM run GROUP BY u, r, g),
+gap AS (SELECT u, r, a, b, coalesce(lag(b) OVER (PARTITION BY u, r ORDER BY a), 0) AS p FROM span),
+cut AS (SELECT d.r, sum(b - a)::BIGINT AS n, count(*) AS k, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest FROM gap JOIN d ON gap.r = d.r WHERE u = 0 GROUP BY d.r),
+more AS (SELECT r, count(*) AS k, sum(b - a)::BIGINT AS n FROM span WHERE u = 1 GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(cut.n, 0) AS n_removed, coalesce(cut.k, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256,
+  more.k IS NOT NULL AS has_passage, coalesce(more.k, 0) AS n_passages, coalesce(more.n, 0) AS passage_bytes
+FROM d LEFT JOIN cut ON d.r = cut.r LEFT JOIN more ON d.r = more.r
+"""

@@ -75,3 +75,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 40) -> DataF
     rows = d.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), "source")
     out = interleave(rows, "source", ["doc_id", "text_crc32", "size"], n_shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "frac_rank")
+
+
+#: The CRC by its table of 256 entries, made by rule.
+OP10_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+x AS (SELECT doc_id, source, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, source, strlen(t)::BIGINT + 16 AS size,
+  xor(list_reduce(list_concat([4294967295], [('0x' || substr(x, 2 * i + 1, 2))::BIGINT for i in range(strlen(t))]), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM x, crc),
+k AS (SELECT *, coalesce('=' || source, '') AS s, md5(concat('0|', coalesce(doc_id::VARCHAR, ''), '|', text_crc32, '|', size)) AS h, count(*) OVER () AS n FROM c),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY s ORDER BY h, doc_id, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY s))::DOUBLE AS frac_rank FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY frac_rank, s, h, doc_id, text_crc32, size) - 1 AS i FROM f)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (i * 40 // n)::INTEGER AS shard, i - ((i * 40 // n) * n + 39) // 40 AS slot, NULL::INTEGER AS grown_shard, source, frac_rank FROM p
+"""

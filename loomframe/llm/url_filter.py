@@ -44,25 +44,30 @@ def probe_keys(host: Column, path: Column, patterns: list[str]) -> Column:
 
 
 class Cascade:
-    """Levels of Bloom filters; `holds(key)` is exact for keys of the universe it was built over."""
+    """Levels of Bloom filters; `holds(key)` is exact for keys of the universe it was built over.
 
-    def __init__(self, max_bits: int = 1 << 23):
+    A list too long for levels of max_bits bits is split by hash into parts, each with a cascade of its own.
+    """
+
+    def __init__(self, depth: int = 0):
         self.levels: list[tuple[list[int], int, int]] = []
-        self.max_bits = max_bits
+        self.parts: list[Cascade] = []
+        self.depth = depth
+
+    def _part(self, key: Column, parts: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(f"part {self.depth}"), key), F.lit(parts))
 
     def _bits(self, key: Column, level: int, k: int, m: int) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(f"{level}.{i}"), key), F.lit(m)) for i in range(k)]
 
     def _passes(self, key: Column, level: int) -> Column:
         words, k, m = self.levels[level]
-        held = F.lit(words)
+        held = F.lit(words).cast("array<bigint>")
         return reduce(lambda a, b: a & b, [F.getbit(F.element_at(held, (F.shiftright(p, 6) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in self._bits(key, level, k, m)])
 
     def _add(self, keys: DataFrame, n: int, rate: float) -> None:
         """keys(key): a further level that encodes them with false positives at the given rate."""
-        m = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-        if m > self.max_bits:
-            raise ValueError(f"a level of {m} bits; max_bits is {self.max_bits}: split the rule list")
+        m = max(64, self._size(n, rate))
         k, m, level = max(1, round(-math.log2(rate))), -(-m // 64) * 64, len(self.levels)
         bit = keys.select(F.explode(F.array(*self._bits(F.col("key"), level, k, m))).alias("p"))
         words = bit.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("v"))
@@ -71,16 +76,25 @@ class Cascade:
             held[row["w"]] = row["v"]
         self.levels.append((held, k, m))
 
+    @staticmethod
+    def _size(n: int, rate: float) -> int:
+        return math.ceil(n * -math.log(rate) / math.log(2) ** 2)
+
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 23) -> Cascade:
+    def build(cls, listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 23, depth: int = 0) -> Cascade:
         """listed(key) and universe(key), both distinct and without nulls; the list may hold keys outside the universe."""
-        self = cls(max_bits)
+        self = cls(depth)
         n = listed.count()
         if not n:
             return self
         size = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
         yes, no = listed, None
         rate = min(0.5, n * math.sqrt(0.5) / max(1, size))
+        if n > 1 and (parts := -(-cls._size(n, rate) // max_bits)) > 1:
+            own = lambda keys, p: keys.where(self._part(F.col("key"), parts) == p)
+            # parts are of unequal size: half as much again is allowed, and those still too large split further by another hash
+            self.parts = [cls.build(own(listed, p), own(universe, p), max_bits + max_bits // 2, depth + 1) for p in range(parts)]
+            return self
         self._add(yes, n, rate)
         while True:
             level = len(self.levels) - 1
@@ -97,6 +111,9 @@ class Cascade:
 
     def holds(self, key: Column) -> Column:
         """Levels that pass in turn: a no at an even place (the first, the third ...) means not listed."""
+        if self.parts:
+            part = self._part(key, len(self.parts))
+            return reduce(lambda out, p: F.when(part == p[0], p[1].holds(key)).otherwise(out), enumerate(self.parts), F.lit(False))
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             out = F.when(self._passes(key, level), out).otherwise(F.lit(level % 2 == 1))
@@ -122,7 +139,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url under RULES; urls that no rule fits are unlisted keys of the cascade: allow."""
+    """Every page's url under RULES; urls that no rule fits are unlisted keys of the cascade: allow.
+
+    Null urls and urls without `://`: empty host and path, no rule, allow. Very long urls and repeated rows are rows like others;
+    null and repeated page_ids too. An empty table gives no rows.
+    """
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

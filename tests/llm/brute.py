@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -68,3 +69,70 @@ def contamination(docs, items, window=13):
                     ids |= windows[tuple(w[i : i + n])]
         out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
+
+
+def plain_passages(texts, words=51, width=400):
+    """What the pipeline's stage leaves: no byte of a repeated passage of 51 words, or of 400 bytes."""
+    raw = [(t or "").encode() for t in texts]
+    spans, seen = [], Counter()
+    for b in raw:
+        w = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        spans.append([("words", x[0], y[1]) for x, y in zip(w, w[words - 1 :])] + [("bytes", i, i + width) for i in range(len(b) - width + 1)])
+        seen.update((kind, b[x:y]) for kind, x, y in spans[-1])
+    out = []
+    for b, s in zip(raw, spans):
+        gone = bytearray(len(b))
+        for kind, x, y in s:
+            if seen[kind, b[x:y]] > 1:
+                gone[x:y] = b"\1" * (y - x)
+        out.append(bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def drop_repeats(rows, words=51, width=400):
+    """(id, text) rows that the pipeline's stage leaves."""
+    left = plain_passages([t for _, t in rows], words, width)
+    return [(i, new if t is not None else None) for (i, t), new in zip(rows, left) if new or not t]
+
+
+class Languages:
+    """Word likelihoods from byte trigrams and EM over sets of languages, one document at a time."""
+
+    def __init__(self, rows, bits, alpha, bucket):
+        self.bucket, counts = bucket, defaultdict(Counter)
+        for text, lang in rows:
+            counts[lang].update(g for w in self.words(text) for g in w)
+        self.langs = sorted(counts)
+        total = {k: sum(c.values()) + alpha * 2**bits for k, c in counts.items()}
+        self.p = lambda k, g: math.log((counts[k][g] + alpha) / total[k])
+
+    def words(self, text):
+        """Buckets of the trigrams of each word: letters a-z (lower-cased) and bytes over 127, with an edge on either side."""
+        for w in re.findall(rb"[a-z\x80-\xff]+", bytes(c + 32 if 65 <= c < 91 else c for c in text.encode())):
+            b = b" " + w + b" "
+            yield [self.bucket(b[i], b[i + 1], b[i + 2]) for i in range(len(w))]
+
+    def fit(self, like, langs):
+        share = {k: 1 / len(langs) for k in langs}
+        for _ in range(500):
+            new = dict.fromkeys(langs, 0.0)
+            for x in like:
+                total = sum(x[k] * share[k] for k in langs)
+                for k in langs:
+                    new[k] += x[k] * share[k] / total / len(like)
+            share = new
+        return share, sum(math.log(sum(x[k] * share[k] for k in langs)) for x in like)
+
+    def predict(self, text):
+        """(language, its share)"""
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        like = []
+        for w in self.words(text):
+            v = {k: sum(self.p(k, g) for g in w) for k in self.langs}
+            like.append({k: math.exp(max(x - max(v.values()), -60)) for k, x in v.items()})
+        every, _ = self.fit(like, self.langs)
+        order = sorted(self.langs, key=lambda k: -every[k])
+        fits = [(*self.fit(like, order[: n + 1]), n) for n in range(len(order))]
+        share = max(fits, key=lambda f: f[1] - 0.5 * f[2] * math.log(max(len(like), 2)))[0]
+        return max(share.items(), key=lambda x: x[1])

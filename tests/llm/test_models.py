@@ -4,9 +4,11 @@ import random
 import zlib
 from pathlib import Path
 
+import brute
 import numpy as np
 import pytest
 
+from loomframe.llm import language
 from loomframe.llm.boosting import Boosted, Isotonic
 from loomframe.llm.language import Model, op1_language
 from loomframe.llm.toxicity import INSULTS, op7_toxicity, undo
@@ -31,6 +33,17 @@ def test_language_on_held_out_documents(spark, tables):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_matches_plain_inference(spark, tables):
+    rng = random.Random(3)
+    mixed = [" ".join(rng.choice(BANKS[k]) for k in ks for _ in range(rng.randint(5, 40))) for ks in (["en", "de"], ["fr", "de", "en"], ["fr", "en"], ["de"])]
+    rows = [*corpus(rng, 120), *[(1000 + k, t, None, "s", None) for k, t in enumerate(mixed)], (2000, "x", "en", "s", 1), (2001, "  ", "de", "s", 1), (2002, None, "de", "s", 1)]
+    learn = [(t, lang) for i, t, lang, *_ in rows if t is not None and lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    plain = brute.Languages(learn, language.BITS, language.ALPHA, lambda a, b, c: (((a << 16 | b << 8 | c) * 0x9E3779B1) % 2**32) >> (32 - language.BITS))
+    for r in op1_language(spark, tables(documents=rows)).collect():
+        lang, score = plain.predict(next(t for i, t, *_ in rows if i == r["doc_id"]))
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 0.02, r["doc_id"]
+
+
 def test_language_shares(spark, tables):
     rng = random.Random(2)
     mixed = " ".join([rng.choice(BANKS["en"]) for _ in range(200)] + [rng.choice(BANKS["de"]) for _ in range(100)])

@@ -2,8 +2,6 @@
 
 import hashlib
 import random
-import re
-from collections import Counter
 
 import brute
 import numpy as np
@@ -12,11 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomframe.llm import minhash, repeats
-from loomframe.llm.common import run_hash
+from loomframe.llm.common import run_hash, wide_hashes
 from loomframe.llm.decontaminate import Windows, find_passages, op5_decontamination, remove_spans, word_hashes
 from loomframe.llm.fm_index import FMIndex
 from loomframe.llm.minhash import drop_near_duplicates, near_duplicates, op3_minhash
-from loomframe.llm.pieces import MODEL, Pieces, best_path, decode, encode, merge_word, op2_sentencepiece
+from loomframe.llm.pieces import MODEL, Pieces, best_path, decode, encode, merge_word, op2_sentencepiece, word_hash
 from loomframe.llm.repeats import drop_repeats, op8_suffix_dedup, repeated_windows
 from loomframe.llm.suffix import suffix_order
 
@@ -27,6 +25,30 @@ def test_run_hash_depends_on_bytes_only():
     assert run_hash(a, np.array([2]), np.array([5])) != run_hash(b, np.array([0]), np.array([4]))
 
 
+def test_hashes_tell_thue_morse_texts_apart():
+    """A text of two letters and its complement, which polynomial hashes modulo a power of two cannot tell apart."""
+    a = bytes(97 + i.bit_count() % 2 for i in range(4096))
+    b = bytes(195 - c for c in a)
+    data = np.frombuffer(a + b, np.uint8)
+    for n in (8, 64, 400, 1024, 4096):
+        x, y = run_hash(data, np.array([0, 4096]), np.array([n, 4096 + n]))
+        assert x != y
+        w = wide_hashes(data, n)
+        assert w[0] != w[4096] and len(w) == len(data) - n + 1
+    assert len({*word_hash([a[:1024].decode(), b[:1024].decode()]).tolist()}) == 2
+
+
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.integers(1, 40))
+@settings(max_examples=100, deadline=None)
+def test_equal_ranges_have_equal_hashes(letters, n):
+    data = np.array(letters, np.uint8)
+    start = np.arange(max(0, len(data) - n + 1))
+    h = run_hash(data, start, start + n)
+    for i in start:
+        for j in start:
+            assert (h[i] == h[j]) == (data[i : i + n].tobytes() == data[j : j + n].tobytes())
+
+
 # near duplicates
 
 
@@ -125,6 +147,16 @@ def passages(rng, n, width):
     return out
 
 
+def test_passages_of_op8(spark, tables):
+    """has_passage tells of 51 repeated words in under 400 bytes; the bytes stay."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randint(0, 9999)}" for _ in range(n))
+    p, q = say(51), say(50)
+    rows = [(0, f"{say(9)} {p} {say(9)}"), (1, f"{p}\n{say(3)}"), (2, f"{say(4)} {q}"), (3, f"{q} {say(4)}"), (4, None), (5, "")]
+    got = {r["doc_id"]: r for r in op8_suffix_dedup(spark, tables(documents=[(i, t, "en", "s", 1) for i, t in rows])).collect()}
+    assert {i: (r["n_removed"], r["has_passage"], r["n_passages"], r["passage_bytes"]) for i, r in got.items()} == {i: (0, i < 2, int(i < 2), len(p) * (i < 2)) for i in range(6)}
+
+
 def check_repeats(rows, got, width):
     want = brute.repeats([t for _, t in rows], width)
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
@@ -167,24 +199,6 @@ def test_repeated_windows_need_left_and_right():
     assert got[0].tolist() == list(range(10, 81)) and got[1].tolist() == list(range(10, 81)) and not len(got[2])
 
 
-def plain_passages(texts, words=51, width=400):
-    """What the pipeline's stage leaves: no byte of a repeated passage of 51 words, or of 400 bytes."""
-    raw = [(t or "").encode() for t in texts]
-    spans, seen = [], Counter()
-    for b in raw:
-        w = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
-        spans.append([("words", x[0], y[1]) for x, y in zip(w, w[words - 1 :])] + [("bytes", i, i + width) for i in range(len(b) - width + 1)])
-        seen.update((kind, b[x:y]) for kind, x, y in spans[-1])
-    out = []
-    for b, s in zip(raw, spans):
-        gone = bytearray(len(b))
-        for kind, x, y in s:
-            if seen[kind, b[x:y]] > 1:
-                gone[x:y] = b"\1" * (y - x)
-        out.append(bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
-    return out
-
-
 def drop(spark, rows):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     return {r["doc_id"]: r["text"] for r in drop_repeats(spark, docs, "").collect()}
@@ -218,7 +232,7 @@ def test_stage_matches_brute_force(spark, monkeypatch, seed, hot, segment):
                 w[rng.randrange(len(w))] = f"E{rng.randint(0, 99)}"
             parts += [" ".join(w), *(f"own{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 20)))]
         rows.append((i, rng.choice([" ", "\n"]).join(parts)))
-    want = {i: t for (i, old), t in zip(rows, plain_passages([t for _, t in rows])) if t or not old}
+    want = {i: t for (i, old), t in zip(rows, brute.plain_passages([t for _, t in rows])) if t or not old}
     assert drop(spark, rows) == want and any(want.get(i) != t for i, t in rows)
 
 
