@@ -35,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rows of a file that share a dictionary; texts of LONG bytes and more do so by LONG_ROWS rows, so that a block's bytes are
 #: bounded too. Characters of a word that the mask's bits can hold.
 BLOCK_ROWS, LONG, LONG_ROWS, MASK_CHARS = 16384, 1 << 15, 64, 48
+#: Rows for each partition of the stream of blocks (blocks fall on them by hash), and partitions at most.
+PART_ROWS, MOST_PARTS = 4096, 200_000
 SPACE = "▁"
 
 
@@ -213,19 +215,22 @@ def _viterbi_fold(edges: Column, n: Column) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["ids"]
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(word), distinct, of up to MASK_CHARS characters, dealt by word: (word, ids).
+def encode_words(words: DataFrame, pieces: Pieces, carry: str) -> DataFrame:
+    """words(word, carry), distinct, of up to MASK_CHARS characters, dealt by word: (word, carry, ids).
 
     Substrings meet the pieces by a 64-bit hash, one number to look up, and then byte by byte. A number for each word that
     rises through a partition goes before the word in the grouping: edges come in its order, so nothing is left to sort.
+    What a word carries goes with its first character's edge alone.
     """
     spark = words.sparkSession
     order = {s: k for k, s in enumerate(sorted({s for _, _, s in pieces.rows}))}  # the best score has the highest rank
     rows = [(p, i, s, order[s]) for p, i, s in pieces.rows]
     # a vocabulary: a model's, of fixed size
     piece_table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double, rank long").withColumn("key", F.xxhash64("piece")))
-    starts = words.select("word", F.monotonically_increasing_id().alias("no")).select("word", "no", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    sizes = starts.select("word", "no", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start")))).alias("size"))
+    first = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.struct(i.alias("start"), F.when(i == 0, F.col(carry)).alias("carry")))
+    starts = words.select("word", F.monotonically_increasing_id().alias("no"), first.alias("s")).select("word", "no", F.explode("s").alias("s")).select("word", "no", "s.*")
+    sizes = starts.select("word", "no", "start", "carry", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start")))).alias("size"))
+    sizes = sizes.withColumn("carry", F.when(F.col("size") == 1, F.col("carry")))
     subs = sizes.withColumn("sub", F.substring("word", F.col("start") + 1, F.col("size")))
     edges = subs.withColumn("key", F.xxhash64("sub")).join(piece_table, "key").where(F.coalesce(F.startswith("sub", "piece") & F.startswith("piece", "sub"), F.lit(False)))
     if pieces.kind == "merge":
@@ -234,9 +239,9 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         edge = _masked(edge, F.col("start"), F.col("size"))
     else:
         edge = F.struct("start", "size", "id", "score")
-    lattice = edges.groupBy("no", "word").agg(F.collect_list(edge).alias("edges"))
+    lattice = edges.groupBy("no", "word").agg(F.first("carry", ignorenulls=True).alias(carry), F.collect_list(edge).alias("edges"))
     fold = _merge_fold if pieces.kind == "merge" else _viterbi_fold
-    return lattice.select("word", fold(F.col("edges"), F.length("word")).alias("ids"))
+    return lattice.select("word", carry, fold(F.col("edges"), F.length("word")).alias("ids"))
 
 
 def merge_word(word: str, score: dict[str, tuple[float, int]]) -> list[tuple[str, int | None]]:
@@ -276,39 +281,29 @@ def best_path(word: str, score: dict[str, tuple[float, int]], longest: int) -> l
 
 
 def _entries(coded: DataFrame) -> DataFrame:
-    """coded(block, word, ids): (block, blob), words of a block by hash with their ids, compressed; many words a row."""
+    """coded(word, blocks, ids): (block, blob), the words of each block by hash with their ids, compressed; many words a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        held, rows = [], 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            x = pa.Table.from_batches(held).combine_chunks()
-            block = x.column("block").to_numpy()
-            h = word_hash(x.column("word").to_pylist())
-            ids = x.column("ids").chunk(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = word_hash(batch.column(0).to_pylist())
+            blocks, ids = batch.column(1), batch.column(2)
+            per = np.diff(blocks.offsets.to_numpy())
+            word, block = np.repeat(np.arange(len(per)), per), blocks.flatten().to_numpy()
             n = np.diff(ids.offsets.to_numpy())
             first, flat = np.cumsum(n) - n, ids.flatten().to_numpy()
             order = np.argsort(block, kind="stable")
-            cut = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+            cut = np.flatnonzero(np.append(True, np.diff(block[order]) != 0)) if len(order) else []
             for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
-                w = order[a:b]
+                w = word[order[a:b]]
                 m = n[w]
                 at = np.repeat(first[w] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
                 blob = np.array([len(w)], np.int64).tobytes() + h[w].tobytes() + m.astype(np.uint8).tobytes() + flat[at].astype(np.int32).tobytes()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([int(block[w[0]])], pa.int64()), "blob": pa.array([z.compress(blob)], pa.binary())})
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-            if rows >= 200_000:
-                yield from done()
-                held, rows = [], 0
-        if held:
-            yield from done()
+                yield pa.RecordBatch.from_pydict({"block": pa.array([int(block[order[a]])], pa.int64()), "blob": pa.array([z.compress(blob)], pa.binary())})
 
-    return coded.select("block", "word", "ids").mapInArrow(frugal(run), "block long, blob binary")
+    return coded.select("word", "blocks", "ids").mapInArrow(frugal(run), "block long, blob binary")
 
 
 def _read_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -385,11 +380,13 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
         blocked = _blocked(docs, keep)
     except AnalysisException:  # not a scan of files: make it one
         blocked = _blocked(materialize(docs.select("text", *keep), "texts"), keep)
-    # one shuffle by word: the distinct words are encoded where they lie, and the blocks that ask for them wait beside them
-    asked = _words(blocked, pieces).repartition("word")
-    coded = asked.join(encode_words(asked.select("word").distinct(), pieces).hint("merge"), "word")
+    # one shuffle by word; a word's row holds a number for each block that asks for it
+    words = _words(blocked, pieces).groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    coded = encode_words(words, pieces, "blocks")
     stream = _entries(coded).select("block", F.lit(0).alias("kind"), "blob").union(_packs(blocked, keep).select("block", F.lit(1).alias("kind"), "blob"))
-    stream = stream.repartition("block").sortWithinPartitions("block", "kind")
+    # about a block a partition, so that the batches that go to Python stay small; a partition of more blocks takes them in turn
+    parts = min(MOST_PARTS, max(1, -(-docs.count() // PART_ROWS)))
+    stream = stream.repartition(parts, "block").sortWithinPartitions("block", "kind")
     held = spark.sparkContext.broadcast((pieces.classes(), pieces.spellings(), pieces))
     schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL("n_tokens long, ids array<int>, decoded boolean")])
 
