@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to a Python worker at once: the JVM holds them once or twice for each task, the worker too.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to ARROW_BYTES, if it is higher. The limit is read when a plan runs, so it stays lowered."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = "".join(c for c in spark.conf.get(name) if c.isdigit())  # `67108864b`
+    if not digits or int(digits) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import frugal, materialize, run_hash, slices, table
+from .common import frugal, materialize, run_hash, slices, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rows of a file that share a dictionary; texts of LONG bytes and more do so by LONG_ROWS rows, so that a block's bytes are
@@ -376,6 +376,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
     Very long texts are rows like others; repeated rows each have their ids. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     try:
         blocked = _blocked(docs, keep)
     except AnalysisException:  # not a scan of files: make it one

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import frugal, materialize, mix64, run_hash, slices, split_words, table, text_bytes, wide_hashes
+from .common import frugal, materialize, mix64, run_hash, slices, small_batches, split_words, table, text_bytes, wide_hashes
 from .suffix import suffix_order
 
 WIDTH, GRAM, CELL = 400, 32, 16
@@ -383,6 +383,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame, keep: list[str], *units: Bytes | Words, cut: int | None = None) -> DataFrame:
     """docs(doc_id, text, keep...): keep..., n_bytes, n_removed, n_spans, spans (merged), rest (binary), kept_sha256: texts without the repeated windows of the first `cut` units (all, if None); passages, passage_bytes: number and bytes of the other units' merged windows."""
+    small_batches(docs.sparkSession)
     keyed = docs.withColumns({"k1": F.xxhash64(F.lit(1), "doc_id", "text"), "k2": F.xxhash64(F.lit(2), "text", "doc_id")})
     first = len(units) if cut is None else cut
     added = "n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>, rest binary, kept_sha256 string, passages long, passage_bytes long"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .boosting import Boosted, Isotonic
-from .common import frugal, materialize, slices, table
+from .common import frugal, materialize, slices, small_batches, table
 from .language import is_test
 
 #: Bound of the labelled sample; entries of the learned lexicon at most; documents that an entry must be in.
@@ -104,7 +104,8 @@ class Features:
 
 
 def _map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
-    """df(text, keep...): keep... plus the columns that make()(texts) returns as a dict of arrays."""
+    """df(text, keep...): keep... (which may name the text) plus the columns that make()(texts) returns as a dict of arrays."""
+    small_batches(df.sparkSession)
     added = StructType([*df.select(*keep).schema, *StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +113,11 @@ def _map_texts(df: DataFrame, keep: list[str], schema: str, make: Callable[[], C
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 new = f(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new.values()], names=[*keep, *new])
+                yield pa.RecordBatch.from_arrays([*[part.column(at[c]) for c in keep], *new.values()], names=[*keep, *new])
 
-    return df.select("text", *keep).mapInArrow(frugal(run), added)
+    sent = ["text", *[c for c in keep if c != "text"]]
+    at = {c: i for i, c in enumerate(sent)}
+    return df.select(*sent).mapInArrow(frugal(run), added)
 
 
 class ToxicityModel:
@@ -196,14 +199,22 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's toxicity. Null doc_id: not held out. No labels: score 0."""
+    """Every document's toxicity. Null doc_id: not held out. No labels: score 0.
+
+    Null and empty texts have a score like others. A doc_id that is labelled twice is toxic if one label says so; repeated
+    documents each have their row. An empty table gives no rows.
+    """
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(d, table(spark, sf_dir, "labels"))
     return score(d.withColumn("held_out", is_test(F.col("doc_id"), 5, 0)), model, ["doc_id", "held_out"])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the model rejects go; the columns stay as they are."""
+    """Pipeline stage: documents that the model rejects go; the columns stay as they are.
+
+    Null and empty texts are scored as empty. Without labels nothing goes. Repeated rows are judged alike.
+    """
     model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return score(whole, model, ["row"]).where("predicted = 0").select("row.*")
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    kept = score(docs.select("text", rest.alias("row")), model, ["text", "row"]).where("predicted = 0")
+    return kept.select(*[F.col(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
