@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,10 @@ from ..functions import numbers as N
 from ..functions import sequences as Q
 from ..functions import text as T
 from ..operators import batches, conversations, features, labels, metrics, sampling
-from ..operators.inference import Stub, infer
+from ..operators.inference import Stub, encode_images, infer, infer_once
+from ..sources import files, sinks
+from ..sources.shared import fresh_path
+from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -447,3 +451,222 @@ def stub_inference_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('42' || o_orderkey), o_orderkey) AS k FROM orders) WHERE k <= 5""")
 def sample_orders_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_by_group(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey", 5)
+
+
+@query("""WITH s AS (SELECT doc_id // 2 AS video_id, lang = 'en' AS classification, source AS batch_name, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) AS k FROM documents),
+e AS (SELECT doc_id // 3 AS video_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('s', doc_id) END AS summary, CASE WHEN quality = 1 THEN 'grid' ELSE '' END AS layout_category, toxic = 1 AS is_sludge, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id DESC) AS k FROM labels)
+SELECT s.video_id, classification, batch_name, summary, layout_category, is_sludge FROM s LEFT JOIN e ON s.video_id = e.video_id AND e.k = 1 WHERE s.k = 1""")
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("id"), (F.col("lang") == "en").alias("classification"), F.col("source").alias("batch_name"), F.lit("train").alias("split"), F.col("doc_id").alias("ord"))
+    e = read(spark, sf_dir, "labels").select(F.expr("doc_id div 3").alias("video_id"), F.expr("CASE WHEN doc_id % 4 <> 0 THEN concat('s', doc_id) END").alias("summary"), F.expr("CASE WHEN quality = 1 THEN 'grid' END").alias("layout_category"), (F.col("toxic") == 1).alias("is_sludge"), F.col("doc_id").alias("ord"))
+    return labels.label_lookup(s, e).drop("split")
+
+
+@query(f"""WITH {FRAMES} SELECT video_id, frame_path, round_even(doc_id / 8.0::DOUBLE, 2) AS time_s, gt AS classification, toxic = 1 AS is_sludge, layout AS layout_category, concat('s', doc_id) AS summary, split, 'b1' AS batch FROM f""")
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).withColumns({"batch": F.lit("b1"), "time_s": F.col("doc_id") / F.lit(8.0), "classification": F.col("gt"), "is_sludge": F.col("toxic") == 1, "layout_category": F.col("layout"), "summary": F.expr("concat('s', doc_id)")})
+    return labels.manifest_rows(f)
+
+
+@query(f"""WITH {FRAMES} SELECT frame_path, video_id, split, doc_id / 8.0::DOUBLE AS time_s, gt AS gt_classification, toxic = 1 AS gt_is_sludge, layout AS gt_layout, reply AS teacher_raw, {TEACHER} AS sludge, layout AS layout FROM f""")
+def teacher_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).withColumns({"time_s": F.col("doc_id") / F.lit(8.0), "classification": F.col("gt"), "is_sludge": F.col("toxic") == 1, "layout_category": F.col("layout"), "teacher_raw": F.col("reply"), "teacher": F.struct(F.expr(TEACHER).alias("sludge"), F.col("layout").alias("layout"))})
+    return labels.teacher_rows(f).select("*", "teacher.sludge", "teacher.layout").drop("teacher")
+
+
+@query(f"""WITH {FRAMES} SELECT frame_path, video_id, split AS split_source, gt AS gt_is_sludge, {TEACHER} AS teacher_sludge, layout AS teacher_layout, 'd' AS teacher_desc, {JUDGE} AS judge_sludge, concat('r', doc_id) AS judge_reason, reply AS judge_raw FROM f""")
+def judge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    teacher = F.struct(F.expr(TEACHER).alias("sludge"), F.col("layout").alias("layout"), F.lit("d").alias("description"))
+    f = frames(spark, sf_dir).withColumns({"split_source": F.col("split"), "gt_is_sludge": F.col("gt"), "teacher": teacher, "judged": F.struct(F.expr(JUDGE).alias("sludge"), F.expr("concat('r', doc_id)").alias("reason")), "judge_raw": F.col("reply")})
+    return labels.judge_rows(f)
+
+
+@query(f"WITH {FRAMES} SELECT doc_id, CASE WHEN gt THEN 'Why is it?' ELSE 'Why is it not?' END AS prompt FROM f")
+def label_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir).select("doc_id", conversations.prompt_for(F.col("gt"), "Why is it?", "Why is it not?").alias("prompt"))
+
+
+IMAGE_OF = "CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('v', doc_id) END"
+
+
+@query(f"SELECT doc_id, image FROM (SELECT doc_id, {IMAGE_OF} AS image FROM documents) WHERE image IS NULL OR image = '' OR image IN (SELECT concat('v', vec_id) FROM embeddings)")
+def existing_images_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = read(spark, sf_dir, "embeddings").select(F.expr("concat('v', vec_id)").alias("path"))
+    return features.existing_only(read(spark, sf_dir, "documents").select("doc_id", F.expr(IMAGE_OF).alias("image")), listing)
+
+
+@query(f"""SELECT doc_id, image, CASE WHEN vec_id IS NULL THEN 2 ELSE 1 END::INTEGER AS n_rows, coalesce(embedding[1], 0)::DOUBLE AS x0, coalesce(embedding[64], 0)::DOUBLE AS x63 FROM (SELECT doc_id, {IMAGE_OF} AS image FROM documents)
+LEFT JOIN embeddings ON image = concat('v', vec_id) AND vec_id % 7 <> 0 WHERE image IS NULL OR image = '' OR vec_id IS NOT NULL""")
+def feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = read(spark, sf_dir, "embeddings").select(F.expr("concat('v', vec_id)").alias("image"), F.expr("vec_id % 7 <> 0").alias("ok"), Q.first_rows(F.array("embedding", "embedding"), 1).alias("features"))
+    x = features.with_features(read(spark, sf_dir, "documents").select("doc_id", F.expr(IMAGE_OF).alias("image")), cache, rows=2, width=64)
+    return x.select("doc_id", "image", F.size("features").alias("n_rows"), F.col("features")[0][0].cast("double").alias("x0"), F.col("features")[0][63].cast("double").alias("x63"))
+
+
+@query(f"SELECT d.doc_id, d.source, l.split FROM documents d JOIN (SELECT doc_id, {SPLIT} AS split FROM labels) l ON d.doc_id = l.doc_id")
+def split_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = read(spark, sf_dir, "labels").select("doc_id", F.expr(SPLIT).alias("split"))
+    return sampling.with_split(read(spark, sf_dir, "documents").select("doc_id", "source", F.lit("none").alias("split")), named, "doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 20")
+def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.limit_rows(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"], 20)
+
+
+VIDEO_PATH = "concat('root/', source, '/clip.', doc_id, CASE doc_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '' ELSE '.tar.gz' END)"
+
+
+@query(rf"""SELECT doc_id, string_split(p, '/')[-1] AS name, regexp_replace(string_split(p, '/')[-1], '\.[^.]*$', '') AS stem, string_split(p, '/')[-2] AS parent, substr(p, 6) AS inner_path,
+ concat('v', doc_id, '_f', doc_id % 31, '.jpg') AS frame FROM (SELECT doc_id, {VIDEO_PATH} AS p FROM documents)""")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, p = read(spark, sf_dir, "documents").select("doc_id", F.expr(VIDEO_PATH).alias("p")), F.col("p")
+    frame = T.frame_name(F.expr("concat('v', doc_id)"), F.expr("doc_id % 31 + 0.75D"))
+    return x.select("doc_id", T.file_name(p).alias("name"), T.file_stem(p).alias("stem"), T.parent_name(p).alias("parent"), T.without_prefix(p, "root/").alias("inner_path"), frame.alias("frame"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('__ERROR__: OSError: ', source) ELSE 'Yes.' END AS raw, CASE WHEN doc_id % 4 <> 0 THEN 'Yes.' END AS answer FROM documents")
+def error_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("doc_id") % 4 == 0, T.error_marker(F.lit("OSError"), F.col("source"))).otherwise("Yes.")
+    return read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), T.without_errors(raw).alias("answer"))
+
+
+@query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)""")
+def resume_retries_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 0, "Yes.").otherwise("__ERROR__: OSError: x").alias("teacher_raw"))
+    return labels.not_done(read(spark, sf_dir, "documents").select("doc_id", "source"), done, "doc_id", retry_errors=True)
+
+
+@query(f"""SELECT conv_id, turn, concat('<|im_start|>user', chr(10), CASE WHEN conv_id % 3 = 0 THEN concat(repeat('<image>', 32), chr(10)) ELSE '' END, text, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10)) AS template,
+ concat('<|im_start|>user', chr(10), text, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10)) AS prompt FROM conversations""")
+def prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    text = item("text", F.col("text"))
+    content = F.when(F.col("conv_id") % 3 == 0, F.array(item("image", F.lit(None).cast("string")), text)).otherwise(F.array(text))
+    messages = F.array(F.struct(F.lit("user").alias("role"), content.alias("content")))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", Q.render_template(messages, prompt=True).alias("template"), Q.render_prompt(F.col("text")).alias("prompt"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, [length(w)::BIGINT for w in string_split(concat(coalesce(text, ''), '<|im_end|>'), ' ') if w <> ''] AS t FROM documents)
+SELECT doc_id, {_flat("list_concat([-200], t)")} AS ids, {_flat("list_concat([-100], t)")} AS labels FROM x""")
+def caption_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = lambda who, value: F.struct(F.lit(who).alias("from"), value.alias("value"))
+    said = F.array(turn("human", F.lit(Q.IMAGE_TEXT)), turn("gpt", F.coalesce("text", F.lit(""))))
+    ids, lab = Q.caption_sample(said, Q.split_tokens)
+    return read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), lab.alias("labels")).select("doc_id", flat("ids").alias("ids"), flat("labels").alias("labels"))
+
+
+@query(SQL["linear_projection"])
+def model_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = np.array([[i % 3 - 1 for i in range(1, 65)], [i % 5 - 2 for i in range(1, 65)]], np.float64)
+    y = Q.project(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", w, np.array([1.0, -1.0]), "y")
+    return y.select("vec_id", F.round(F.col("y")[0], 4).alias("y0"), F.round(F.col("y")[1], 4).alias("y1"))
+
+
+@query("""SELECT frame_path, CASE WHEN contains(frame_path, 'bad') THEN concat('__ERROR__: FileNotFoundError: ', frame_path) WHEN ('0x' || substr(md5(frame_path), 1, 8))::BIGINT % 2 = 1 THEN 'Yes.' ELSE 'No.' END AS reply
+FROM (SELECT concat(CASE WHEN doc_id % 11 = 0 THEN 'bad/' ELSE 'f/' END, doc_id // 2) AS frame_path FROM documents)""")
+def inference_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of one row, so that a failure is its own row's only; a key is asked once however often it is given."""
+    key = F.expr("concat(CASE WHEN doc_id % 11 = 0 THEN 'bad/' ELSE 'f/' END, doc_id div 2)")
+    return infer_once(read(spark, sf_dir, "documents").select(key.alias("frame_path")), Stub, "frame_path", batch_size=1)
+
+
+def _byte_counter() -> Callable[[bytes], list[list[float]]]:
+    """A stand-in encoder: the size of the content, twice; content of a size that divides by three is unreadable."""
+
+    def encode(content: bytes) -> list[list[float]]:
+        if len(content) % 3 == 0:
+            raise ValueError("unreadable")
+        return [[float(len(content))], [-1.0]]
+
+    return encode
+
+
+@query("""SELECT concat('p', page_id) AS image, page_id AS idx, n % 3 <> 0 AS ok, CASE WHEN n % 3 <> 0 THEN n::DOUBLE END AS size FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n FROM pages)""")
+def encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").select(F.expr("concat('p', page_id)").alias("image"), F.col("page_id").alias("idx"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("content"))
+    return encode_images(p, _byte_counter, 1).select("image", "idx", "ok", F.col("features")[0][0].cast("double").alias("size"))
+
+
+@query("""WITH v AS (SELECT DISTINCT source AS video_id FROM documents), n AS (SELECT source AS video_id, count(*) AS n FROM documents WHERE doc_id % 50 = 0 GROUP BY 1)
+SELECT count(*) AS videos, coalesce(sum(n), 0)::BIGINT AS frames, count(*) FILTER (n IS NULL) AS failed FROM v LEFT JOIN n USING (video_id)""")
+def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), F.expr("CASE WHEN doc_id % 50 = 0 THEN concat('f', doc_id) END").alias("frame_path"))
+    return files.extraction_counts(d.select("video_id").distinct(), d)
+
+
+@query("SELECT doc_id, lang, md5(text) AS print FROM documents")
+def lines_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "lines")
+    sinks.write_lines(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), path)
+    return files.read_lines(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("print"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def array_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "array")
+    sinks.as_array(labels.count_by(read(spark, sf_dir, "documents"), "source"), ["source"]).write.text(path)
+    return files.read_array(spark, path, "source string, n long")
+
+
+@query("SELECT 'train' AS split_source, doc_id AS id, md5(text) AS print FROM documents UNION ALL SELECT 'test', NULL, md5(text) FROM benchmark")
+def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = {tag: fresh_path(spark, tag) for tag in ("train", "test")}
+    sinks.write_lines(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), paths["train"])
+    sinks.write_lines(read(spark, sf_dir, "benchmark").select("text"), paths["test"])
+    return files.read_tagged(spark, paths, "id long, text string").select("split_source", "id", F.md5("text").alias("print"))
+
+
+DONE_LINE = """CASE doc_id % 5 WHEN 0 THEN concat('{"frame_path":"f', doc_id, '"}') WHEN 1 THEN '{"frame_path":' WHEN 2 THEN '{"other":1}' ELSE '' END"""
+
+
+@query("SELECT concat('f', doc_id) AS frame_path, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS doc_id FROM documents")
+def append_after_broken_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier run left whole, broken and foreign lines; what it did not write is appended."""
+    d, path = read(spark, sf_dir, "documents"), fresh_path(spark, "done")
+    d.select(F.expr(DONE_LINE).alias("value")).write.text(path)
+    sinks.append_new(d.select(F.expr("concat('f', doc_id)").alias("frame_path"), "doc_id"), path, files.read_done(spark, path, "frame_path string"))
+    return files.read_done(spark, path, "frame_path string, doc_id long")
+
+
+@query("SELECT lang, doc_id FROM documents")
+def lines_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "by")
+    sinks.write_by(read(spark, sf_dir, "documents").select("lang", "doc_id"), path, "lang")
+    return files.read_lines(spark, path, "doc_id long, lang string").select("lang", "doc_id")
+
+
+@query("SELECT concat('v', vec_id) AS image, vec_id AS idx, vec_id % 7 <> 0 AS ok, CASE WHEN vec_id % 7 <> 0 THEN embedding[1]::DOUBLE END AS x0 FROM embeddings")
+def features_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path = read(spark, sf_dir, "embeddings"), fresh_path(spark, "features")
+    ok = F.col("vec_id") % 7 != 0
+    sinks.write_features(e.select(F.expr("concat('v', vec_id)").alias("image"), F.col("vec_id").alias("idx"), ok.alias("ok"), F.when(ok, F.array("embedding")).alias("features")), path, "float32", 1, 64, "stub")
+    return files.read_features(spark, path, "float32").select("image", "idx", "ok", F.col("features")[0][0].cast("double").alias("x0"))
+
+
+@query("SELECT vec_id AS idx, concat('v', vec_id) AS image FROM embeddings WHERE vec_id % 7 = 0")
+def failed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.failed_images(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.expr("concat('v', vec_id)").alias("image"), (F.col("vec_id") % 7 != 0).alias("ok")))
+
+
+@query("""SELECT concat('{', chr(10), '  "n": ', count(*), ',', chr(10), '  "first": ', coalesce(min(doc_id)::VARCHAR, 'null'), ',', chr(10), '  "note": null', chr(10), '}') AS summary FROM documents""")
+def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = read(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.lit(None).cast("string").alias("note"))
+    return spark.createDataFrame([(sinks.summary_text(one),)], "summary string")
+
+
+@query("SELECT quality::VARCHAR AS quality, count(*) AS n, sum(toxic)::BIGINT AS toxic FROM labels WHERE quality IS NOT NULL GROUP BY 1")
+def report_keyed_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    return sinks.keyed_by_text(x, "quality").select(F.explode("by_key").alias("quality", "r")).select("quality", "r.n", "r.toxic")
+
+
+@query("SELECT frame_path, CASE WHEN ('0x' || substr(md5(frame_path), 1, 8))::BIGINT % 2 = 1 THEN 'Yes.' ELSE 'No.' END AS reply FROM (SELECT concat('f/', doc_id) AS frame_path FROM documents)")
+def incremental_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a stream over a growing folder of lines, the second with every row again under a new checkpoint: each key is written once."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.expr("concat('f/', doc_id)").alias("frame_path"))
+    source, out = fresh_path(spark, "arrivals"), fresh_path(spark, "replies")
+    for part in (d.where("doc_id % 2 = 0"), d):
+        sinks.write_lines(part.select("frame_path"), source, "append")
+        incremental.run_incrementally(incremental.stream_lines(spark, source, "frame_path string"), lambda rows: infer(rows, Stub), out, fresh_path(spark, "checkpoint")).awaitTermination()
+    return files.read_lines(spark, out, "frame_path string, reply string")
