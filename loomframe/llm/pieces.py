@@ -32,9 +32,9 @@ from pyspark.sql.types import StructType
 from .common import frugal, materialize, run_hash, slices, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Rows of a file that share a dictionary; texts of LONG bytes and more do so by LONG_ROWS rows, so that a block's bytes are
-#: bounded too. Characters of a word that the mask's bits can hold.
-BLOCK_ROWS, LONG, LONG_ROWS, MASK_CHARS = 16384, 1 << 15, 64, 48
+#: Rows of a file that share a dictionary, for texts of less than LONG bytes; with each doubling of a text's size half as many do,
+#: so that no block holds over BLOCK_ROWS * LONG bytes (or one text). Characters of a word that the mask's bits can hold.
+BLOCK_ROWS, LONG, MASK_CHARS = 16384, 1 << 15, 48
 #: Rows for each partition of the stream of blocks (blocks fall on them by hash), and partitions at most.
 PART_ROWS, MOST_PARTS = 4096, 200_000
 SPACE = "▁"
@@ -151,8 +151,9 @@ def _words(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 blocks = part.column(1).to_numpy()
                 joined, start, row, h = cutter(part.column(0).to_pylist())
                 for block in np.unique(blocks[row]) if len(row) else ():
-                    if block not in seen:  # rows of a file come in order: blocks met long ago are done
-                        seen = {**dict(list(seen.items())[-7:]), block: Known()}
+                    seen[block] = seen.pop(block, None) or Known()
+                    if len(seen) > 32:  # rows of a file come in order: blocks met long ago are done
+                        del seen[next(iter(seen))]
                     own = np.flatnonzero(blocks[row] == block)
                     u, at = np.unique(h[own], return_index=True)
                     new = own[at[seen[block].new(u)]].tolist()
@@ -364,9 +365,10 @@ def decode_rows(ids: np.ndarray, offsets: np.ndarray, speller: Speller) -> list[
 
 
 def _blocked(docs: DataFrame, keep: list[str]) -> DataFrame:
-    row = F.col("_metadata.row_index")
-    long = F.when(F.octet_length("text") >= LONG, F.floor(row / LONG_ROWS))
-    return docs.select("text", *keep, F.xxhash64("_metadata.file_path", F.floor(row / BLOCK_ROWS), long).alias("block"))
+    # 0 below LONG bytes, then one more with each doubling
+    size = F.coalesce(F.greatest(F.floor(F.log2(F.octet_length("text") / LONG)) + 1, F.lit(0)), F.lit(0)).cast("int")
+    rows = F.greatest(F.call_function("shiftright", F.lit(BLOCK_ROWS), size), F.lit(1))
+    return docs.select("text", *keep, F.xxhash64("_metadata.file_path", size, F.floor(F.col("_metadata.row_index") / rows)).alias("block"))
 
 
 def encode(docs: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
