@@ -222,14 +222,14 @@ def stage_last(spark, docs, folder):
     return corpus_pipeline.STAGES[-1][1](spark, docs, folder).count()
 
 
-@pytest.mark.parametrize("name", ["op3_minhash", "op5_decontamination", "op8_suffix_dedup", "op9_warc", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op3_minhash", "op5_decontamination", "op8_suffix_dedup", "op9_warc", "op10_sharding", "op12_prefix_trie", "op13_fill_in_middle"])
 def test_sql_gives_the_same_rows(spark, tables, edge_documents, name):
     """Over odd rows; ids are distinct and not null, as SQL joins by them."""
     docs = [(k, *r[1:]) for k, r in enumerate(edge_documents)]
     pages = [(k, "http://a/", t) for k, (_, t, *_) in enumerate(docs)]
-    folder = tables(documents=docs, pages=pages, benchmark=[(1, docs[0][1][:300]), (2, "one"), (3, None)])
+    folder = tables(documents=docs, pages=pages, benchmark=[(1, docs[0][1][:300]), (2, "one"), (3, None)], conversations=[(k // 3, k % 3 or None, r[2], r[1]) for k, r in enumerate(docs)])
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     df = registry.QUERIES[name](spark, folder)
     names = sorted(df.columns)
