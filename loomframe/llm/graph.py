@@ -19,7 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     source, dealt in shares of SHARE edges by hash, so a node with very many edges is spread: its label goes
     to its shares, and what they find is combined before the shuffle.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
+    # written once: both directions must be of the same edges, even if the source gives others when asked again
+    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    both = edges.union(edges.select("b", "a"))
     degree = both.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     dealt = both.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), "shares")
     both = materialize(dealt, "edges")

@@ -186,12 +186,12 @@ def joining_links(labels: np.ndarray, sets: list[np.ndarray], block: np.ndarray,
         a, b = find(int(labels[left[p]])), find(int(labels[right[q]]))
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((a, b))
+            out.append((min(a, b), max(a, b)))
     return out
 
 
 def _links_in_groups(shared: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """shared(lo, node), label(node, label): pairs of labels joined by links between nodes with one leader."""
+    """shared(lo, node), label(node, label): pairs of labels joined by links between nodes with one leader, the same in every run."""
     member = shared.where("node <> lo").select(F.col("lo").alias("g"), "node").distinct()
     member = member.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sized = member.join(sets.select("node", F.length("shingles").alias("size")).distinct(), "node")
@@ -200,7 +200,7 @@ def _links_in_groups(shared: DataFrame, label: DataFrame, sets: DataFrame, perce
     dealt = member.join(mixed.select("g", k.alias("k")), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = dealt.select("g", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block")
-    dealt = dealt.join(sets, "node").select("g", "i", "j", "label", "block", "shingles")
+    dealt = dealt.join(sets, "node").select("g", "i", "j", "node", "label", "block", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -213,7 +213,7 @@ def _links_in_groups(shared: DataFrame, label: DataFrame, sets: DataFrame, perce
 
         out: list[tuple[int, int]] = []
         for batch in batches:
-            for g, i, j, lab, block, data in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            for g, i, j, lab, block, data in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6)), strict=True):
                 if (g, i, j) != key:
                     out += done()
                     key, rows = (g, i, j), []
@@ -221,13 +221,13 @@ def _links_in_groups(shared: DataFrame, label: DataFrame, sets: DataFrame, perce
         out += done()
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(frugal(run), "a long, b long")
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "node").mapInArrow(frugal(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs(doc_id, text): doc_id, n_shingles, component_id, kept for each row.
 
-    An id given twice with different texts has each text's component. Texts without words are linked with nothing; rows without
+    Ids are the vertices: rows that share an id are one vertex with the links of all their texts. Texts without words are linked with nothing; rows without
     doc_id are not linked, have no component and are kept.
     """
     sig = materialize(signatures(docs, width, bands, rows), "signatures")

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import secrets
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +15,7 @@ from loomframe.llm import minhash, repeats
 from loomframe.llm.common import run_hash, wide_hashes
 from loomframe.llm.decontaminate import Windows, find_passages, op5_decontamination, remove_spans, word_hashes
 from loomframe.llm.fm_index import FMIndex
+from loomframe.llm.graph import components
 from loomframe.llm.minhash import drop_near_duplicates, near_duplicates, op3_minhash
 from loomframe.llm.pieces import MODEL, Pieces, best_path, decode, encode, merge_word, op2_sentencepiece, word_hash
 from loomframe.llm.repeats import drop_repeats, op8_suffix_dedup, repeated_windows
@@ -77,6 +80,40 @@ def test_near_duplicates_match_brute_force(spark, tables, seed):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_components_of_a_source_that_changes_its_answer(spark):
+    """Each group of three comes as one of its spanning trees, another at each evaluation; the components are the same."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for g in batch.column(0).to_pylist():
+                x, y, z = 3 * g, 3 * g + 1, 3 * g + 2
+                out += secrets.choice([[(x, y), (x, z)], [(z, y), (y, x)], [(y, z), (y, x)]])
+            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]})
+
+    edges = spark.range(60).repartition(3).mapInArrow(run, "a long, b long")
+    assert sorted(map(tuple, components(edges).collect())) == [(k, k - k % 3) for k in range(180)]
+
+
+def test_groups_do_not_depend_on_partitions(spark, monkeypatch):
+    """A group in many blocks, over several partitionings, against brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(11)
+    rows = near_copies(rng, 40) + [(900, ""), (901, None)]
+    want = {i: c for i, (_, c) in brute.near_duplicates(rows, 5, 80).items()}
+    rng.shuffle(rows)
+    for n in (1, 3, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == want
+
+
+def test_one_id_with_two_texts_is_one_vertex(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    rows = [(2, a + " x"), (5, a), (5, b), (9, b + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()} == {(2, 2), (5, 2), (9, 2)}
+
+
 def test_chain_of_links_is_one_component(spark):
     """Neighbours are similar, ends are not: no single member is close to all."""
     w = [f"w{i}" for i in range(200)]
