@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ HEAD = struct.Struct("<4sIQIIII")
 MAGIC = b"LFV1"
 #: Ids of a block (a longer document is a block of its own), blocks of a file, ids of a range, about.
 BLOCK_IDS, FILE_BLOCKS, RANGE_IDS = 1 << 18, 32, 1 << 25
-#: Pieces of text that a worker remembers with their ids.
-MEMORY = 400_000
+#: Pieces of text that a worker remembers with their ids; words that are encoded at once.
+MEMORY, JOINED = 400_000, 512
 
 # --- text to ids -----------------------------------------------------------------------------------------------------------
 
@@ -49,27 +50,59 @@ _CUT[_WIDE, 1:] = _CUT[1:, _WIDE] = _CUT[_QUOTE, 1:] = _CUT[1:, _QUOTE] = False
 _CUT = _CUT.ravel()
 
 
+class Known:
+    """The ids of pieces of text that came before, one after another in an array."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Ids that end a word: a word of letters has exactly one, its last.
+        self.ends = np.fromiter(((tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.start = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by piece) of words of ASCII letters, which are encoded many at a time, and of other pieces."""
+        some = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)), np.uint32)
+        last = np.flatnonzero(self.ends[flat]) + 1
+        if len(last) != len(words) or (len(last) and last[-1] != len(flat)):  # a vocabulary whose words do not end so
+            words, others, flat, last = [], words + others, flat[:0], last[:0]
+        ids = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
+        more = np.fromiter(chain.from_iterable(ids), np.uint32)
+        return np.concatenate([flat, more]), np.concatenate([np.diff(last, prepend=0), np.fromiter(map(len, ids), np.int64, len(ids))])
+
+    def __call__(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece: its ids are ids[start[number]:start[number + 1]]."""
+        new = [p for p in pieces if p not in self.number]
+        if len(self.number) + len(new) > MEMORY and self.number:
+            self.forget()
+            new = pieces
+        words = [p for p in new if p.isascii() and p.isalpha()]
+        new = words + [p for p in new if not (p.isascii() and p.isalpha())]
+        flat, size = self.encode(words, new[len(words) :])
+        start = self.start[-1] + np.cumsum(size)
+        while self.start[-1] + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.start[-1] : self.start[-1] + len(flat)] = flat
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, start])
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+
+
 @lru_cache(maxsize=2)
-def _loaded(path: str):
+def _loaded(path: str) -> Known:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Known(Tokenizer.from_file(path))
 
 
 def vocabulary_size(path: str) -> int:
-    return _loaded(path)[0].get_vocab_size(with_added_tokens=True)
-
-
-def _ids_of(path: str, pieces: list[str]) -> list[list[int]]:
-    """The library's ids of each piece; pieces that came before are remembered."""
-    tokenizer, known = _loaded(path)
-    new = [p for p in pieces if p not in known]
-    if len(known) + len(new) > MEMORY:
-        known.clear()
-        new = pieces
-    known.update((p, e.ids) for p, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
-    return [known[p] for p in pieces]
+    return _loaded(path).tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -105,16 +138,17 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, n
     n = len(offsets) - 1
     if len(data):
         coded, bounds = _pieces(data, offsets)
-        known = _ids_of(path, coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter((i for k in known for i in k), np.uint32, int(size.sum()))
+        known = _loaded(path)
+        number = known(coded.dictionary.to_pylist())
+        start, size = known.start[number], known.start[number + 1] - known.start[number]
         code = coded.indices.to_numpy()
-        ids = _gather(flat, (np.cumsum(size) - size)[code], size[code])
-        bounds = np.concatenate([[0], np.cumsum(size[code])])[bounds]
+        size = size[code]
+        ids = _gather(known.ids, start[code], size)
+        bounds = np.concatenate([[0], np.cumsum(size)])[bounds]
     else:
         ids, bounds = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
     if (rows := np.flatnonzero(whole.to_numpy(zero_copy_only=False))).size:
-        own = [e.ids for e in _loaded(path)[0].encode_batch([texts[int(i)].as_py() for i in rows], add_special_tokens=False)]
+        own = [e.ids for e in _loaded(path).tokenizer.encode_batch([texts[int(i)].as_py() for i in rows], add_special_tokens=False)]
         ids = np.insert(ids, np.repeat(bounds[rows], [len(x) for x in own]), np.concatenate([np.asarray(x, np.uint32) for x in own]))
         more = np.zeros(n + 1, np.int64)
         more[rows + 1] = [len(x) for x in own]
@@ -122,16 +156,24 @@ def encode_texts(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, n
     return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(n + 1)
 
 
+def width(size: int) -> str:
+    """The numbers that hold the ids of a vocabulary in a table of tokens."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, n, crc, ids binary): the ids, with end_id as the last, in 32 bits each, low byte first."""
+    """docs(doc_id, text) to (doc_id, n, crc, ids binary): the ids, with end_id as the last, in numbers of the vocabulary's width; crc is of 32 bits each."""
     small_batches(docs.sparkSession)
+    kind = width(vocabulary_size(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 ids, bounds = encode_texts(part.column(1), path, end_id)
-                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(np.diff(bounds), pa.int64()), "crc": pa.array(map(zlib.crc32, raw), pa.int64()), "ids": pa.array(raw, pa.binary())})
+                wide, raw = memoryview(ids.astype("<u4")).cast("B"), ids.astype(kind)
+                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                binary = pa.Array.from_buffers(pa.binary(), len(crc), [None, pa.py_buffer((bounds * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(np.diff(bounds), pa.int64()), "crc": pa.array(crc, pa.int64()), "ids": binary})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run), "doc_id long, n long, crc long, ids binary")
 
@@ -191,13 +233,18 @@ def read_blocks(content: memoryview) -> Iterator[tuple[int, int, list[int | None
 
 
 def id_counts(tokens: DataFrame, size: int) -> DataFrame:
-    """(id, n): how often each id stands in all tokens; counted where the tokens lie, then added up."""
+    """(id, n): how often each id stands in all tokens; counted where the tokens lie, then added up. size: of the vocabulary."""
+    kind = width(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                count += np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=size)
+                some = np.frombuffer(ids.as_buffer(), kind)
+                if len(some) < size:
+                    np.add.at(count, some, 1)
+                else:
+                    count += np.bincount(some, minlength=size)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_pydict({"id": pa.array(some, pa.int64()), "n": pa.array(count[some], pa.int64())})
 
@@ -215,13 +262,13 @@ def write_ids(tokens: DataFrame, out: str, size: int, block_ids: int = BLOCK_IDS
     spark.createDataFrame([(k, i, n) for k, (n, i) in enumerate(counts)], "rank long, id long, n long").coalesce(1).write.parquet(f"{out}/ranks")
     rank = np.zeros(size, np.uint32)
     rank[[i for _, i in counts]] = np.arange(len(counts))
-    held = spark.sparkContext.broadcast(rank)
+    held, kind = spark.sparkContext.broadcast(rank), width(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rank, first, docs, n = TaskContext.get().partitionId(), held.value, 0, [], 0
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ranks = rank[np.frombuffer(ids.as_buffer(), "<u4")]
+                ranks = rank[np.frombuffer(ids.as_buffer(), kind)]
                 if docs and n + len(ranks) > block_ids:
                     yield pa.RecordBatch.from_pydict({"value": pa.array([block(part, first, docs)], pa.binary())})
                     first, docs, n = first + n, [], 0
