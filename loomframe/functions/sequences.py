@@ -70,6 +70,27 @@ def chat_segments(turns: Column, has_image: Column, tokenize: Tokenize) -> Colum
     return F.transform(turns, segment)
 
 
+def chat_pieces(turns: Column, has_image: Column) -> Column:
+    """All turns (role, value) as an array of (text, said, image): what one tokenizer call takes, in order. `said` counts as a label, `image` is the sentinel."""
+    piece = lambda text, said, image: F.struct(text.alias("text"), said.alias("said"), F.lit(image).alias("image"))
+
+    def of(t: Column) -> Column:
+        said = t["role"] == "assistant"
+        chunks = F.when(has_image, F.split(t["value"], IMAGE_TEXT, -1)).otherwise(F.array(t["value"]))
+        marked = F.flatten(F.transform(chunks, lambda c, i: F.when(i > 0, F.array(piece(F.lit(""), F.lit(False), True), piece(c, said, False))).otherwise(F.array(piece(c, said, False)))))
+        head = piece(F.concat(F.lit(TURN_OPEN), t["role"], F.lit("\n")), F.lit(False), False)
+        return F.concat(F.array(head), marked, F.array(piece(F.lit(TURN_CLOSE), said, False)))
+
+    return F.flatten(F.transform(turns, of))
+
+
+def assembled(pieces: Column, tokens: Column) -> tuple[Column, Column]:
+    """(ids, labels) of pieces and their token ids: one sentinel for an image, labels only for what is said."""
+    both = F.zip_with(pieces, tokens, lambda p, t: F.struct(p["said"].alias("said"), F.when(p["image"], F.array(F.lit(IMAGE_TOKEN).cast("long"))).otherwise(t).alias("ids")))
+    labels = F.transform(both, lambda x: F.when(x["said"], x["ids"]).otherwise(F.array_repeat(F.lit(IGNORE).cast("long"), F.size(x["ids"]))))
+    return F.flatten(F.transform(both, lambda x: x["ids"])), F.flatten(labels)
+
+
 def joined(segments: Column) -> tuple[Column, Column]:
     """(ids, labels) of all segments."""
     return F.flatten(F.transform(segments, lambda s: s["ids"])), F.flatten(F.transform(segments, lambda s: s["labels"]))

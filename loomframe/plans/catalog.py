@@ -670,3 +670,7 @@ def incremental_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.write_lines(part.select("frame_path"), source, "append")
         incremental.run_incrementally(incremental.stream_lines(spark, source, "frame_path string"), lambda rows: infer(rows, Stub), out, fresh_path(spark, "checkpoint")).awaitTermination()
     return files.read_lines(spark, out, "frame_path string, reply string")
+
+
+# Queries of other modules register themselves.
+from . import training  # noqa: E402, F401

@@ -1,5 +1,6 @@
 """What the plans must and must not hold."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -9,7 +10,8 @@ from loomframe.plans import catalog
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
 
-PYTHON_BOUNDARY = {"stub_inference_resume"}
+#: Queries that call Python, with the number of their Python nodes in the last plan.
+PYTHON_BOUNDARY = {"stub_inference_resume": 1, "inference_with_failures": 1, "encoded_images": 1, "model_projection": 1, "byte_pair_chats": 1}
 
 
 def plan(df):
@@ -22,6 +24,8 @@ def test_no_nested_loops_and_no_python(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name not in PYTHON_BOUNDARY:
         assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+    else:
+        assert len(re.findall(r"(?:MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython) ", text)) == PYTHON_BOUNDARY[name]
 
 
 def test_scans_read_only_what_is_asked(spark):
