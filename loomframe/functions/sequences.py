@@ -114,6 +114,17 @@ def attention_mask(a: Column, length: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(1).cast("long"), F.size(a)), F.array_repeat(F.lit(0).cast("long"), length - F.size(a)))
 
 
+def pad_left(a: Column, length: Column, value: int) -> Column:
+    """Generation goes on at the right end, so a batch of prompts is padded at the left."""
+    return F.concat(F.array_repeat(F.lit(value).cast("long"), length - F.size(a)), a)
+
+
+def prompt_inputs(prompt: Column, has_image: Column, tokenize: Tokenize) -> tuple[Column, Column, Column]:
+    """(ids, mask, labels) of an inference prompt: all of it is attended, none of it is a label."""
+    ids = tokens_with_image(prompt, has_image, tokenize)
+    return ids, F.transform(ids, lambda _: F.lit(1).cast("long")), F.transform(ids, lambda _: F.lit(IGNORE).cast("long"))
+
+
 def splice(a: Column, block: Column, ids: Column) -> Column:
     """a with the place of the single image sentinel in ids replaced by block; unchanged without one, an error with two."""
     n = F.size(F.filter(ids, lambda x: x == IMAGE_TOKEN))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import IGNORE, attention_mask, pad
+from ..functions.sequences import IGNORE, attention_mask, pad, pad_left
 from ..sources.shared import materialize
 
 
@@ -47,6 +47,14 @@ def padded(rows: DataFrame, batch: str, pad_id: int) -> DataFrame:
     return x.withColumns({"input_ids": pad(F.col("input_ids"), F.col("batch_len"), pad_id), "labels": pad(F.col("labels"), F.col("batch_len"), IGNORE), "attention_mask": mask})
 
 
+def left_padded(rows: DataFrame, batch: str, pad_id: int) -> DataFrame:
+    """rows(batch, input_ids, attention_mask, labels) of prompts, as long as the batch's longest, padded at the left. A null prompt is empty."""
+    arrays = {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORE}
+    x = rows.withColumns({c: F.coalesce(c, F.array().cast("array<long>")) for c in arrays})
+    x = x.join(x.groupBy(batch).agg(F.max(F.size("input_ids")).alias("batch_len")), batch)
+    return x.withColumns({c: pad_left(F.col(c), F.col("batch_len"), value) for c, value in arrays.items()})
+
+
 def collated(rows: DataFrame, batch: str, order: str) -> DataFrame:
     """One row a batch: rectangular arrays of arrays, in order (a batch is of bounded size)."""
     parts = F.array_sort(F.collect_list(F.struct(order, "input_ids", "labels", "attention_mask")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import truth
-from ..functions.text import is_filled, starts_yes
+from ..functions.text import is_filled, starts_yes, yes_no
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -60,6 +60,31 @@ def judge_rows(rows: DataFrame) -> DataFrame:
     return rows.select("frame_path", "video_id", "split_source", "gt_is_sludge", *teacher, F.col("judged.sludge").alias("judge_sludge"), F.col("judged.reason").alias("judge_reason"), "judge_raw")
 
 
+def evaluation_rows(rows: DataFrame, prompts: dict[str, str]) -> DataFrame:
+    """rows(video_id, batch, frame_path, gt, layout, summary, explain_prompt and the replies classify, layout_reply, describe, explain) to nested records.
+
+    prompts: of classify, layout and describe. A hit is null where the label or a parsed answer is missing; a layout is a hit if one of the two
+    lower-cased texts is within the other, and null if either is empty.
+    """
+    parsed = yes_no(F.col("classify"))
+    both = is_filled(F.col("layout")) & is_filled(F.col("layout_reply"))
+    a, b = F.lower("layout"), F.lower("layout_reply")
+    reply = lambda prompt, name, *more: F.struct(prompt.alias("prompt"), F.col(name).alias("reply"), *more)
+    truth_ = F.struct(F.col("gt").alias("classification"), F.col("layout").alias("layout_category"), F.col("summary").alias("enriched_summary"))
+    outputs = F.struct(
+        reply(F.lit(prompts["classify"]), "classify", parsed.alias("parsed_sludge"), (parsed == F.col("gt")).alias("hit")).alias("classify"),
+        reply(F.lit(prompts["layout"]), "layout_reply", F.when(both, F.contains(a, b) | F.contains(b, a)).alias("hit")).alias("layout"),
+        reply(F.lit(prompts["describe"]), "describe").alias("describe"),
+        reply(F.col("explain_prompt"), "explain").alias("explain"),
+    )
+    return rows.select("video_id", "batch", "frame_path", truth_.alias("ground_truth"), outputs.alias("model_outputs"))
+
+
+def judged_of(rows: DataFrame, split: str = "test") -> DataFrame:
+    """Rows of one split that a judge has answered."""
+    return rows.where((F.col("split_source") == split) & is_filled(F.col("judge_sludge")))
+
+
 def is_dispute(teacher: Column, gt: Column, include_agreements: bool = False) -> Column:
     """The teacher answered, and (unless agreements count) otherwise than the label; a missing label is no."""
     return is_filled(teacher) & ((starts_yes(teacher) != truth(gt)) | F.lit(include_agreements))

@@ -43,6 +43,11 @@ def keyed_by_text(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), F.struct(*rest))))).alias("by_key"))
 
 
+def write_buckets(features: DataFrame, path: str, name: str, buckets: int, key: str = "image") -> None:
+    """features as a table dealt by key: joins on key use its buckets, and only the other side is shuffled."""
+    features.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+
+
 def write_features(features: DataFrame, path: str, dtype: str, queries: int, width: int, bundle: str, force: bool = False) -> None:
     """features(image, idx, ok, features) and its meta row; refuses to replace a table unless forced."""
     mode = "overwrite" if force else "errorifexists"

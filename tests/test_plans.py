@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
 
 #: Queries that call Python, with the number of their Python nodes in the last plan.
-PYTHON_BOUNDARY = {"stub_inference_resume": 1, "inference_with_failures": 1, "encoded_images": 1, "model_projection": 1, "byte_pair_chats": 1}
+PYTHON_BOUNDARY = {"stub_inference_resume": 1, "inference_with_failures": 1, "encoded_images": 1, "model_projection": 1, "byte_pair_chats": 1, "batch_sizes_swept": 0, "pixel_features": 1, "image_replies": 1, "movie_durations": 1, "spliced_features": 0}
 
 
 def plan(df):
