@@ -17,6 +17,16 @@ from ..sources.shared import fresh_path, materialize, shared_dir
 __all__ = ["fresh_path", "materialize", "shared_dir"]
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables that materialize() wrote, from the shared folder. Nothing that is still to run may read them."""
+    for t in tables:
+        spark, shared = t.sparkSession, shared_dir(t.sparkSession)
+        for parent in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+            if path.getParent().equals(spark._jvm.org.apache.hadoop.fs.Path(shared)):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Edges of a node that one task joins, about.
 SHARE = 4096
@@ -25,6 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     degree = both.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     dealt = both.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), "shares")
     both = materialize(dealt, "edges")
+    release(edges)
     shares = both.groupBy(F.col("b").alias("node")).agg(F.max("shares").alias("shares"))
     least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     label = materialize(least.join(shares, "node").select("node", F.least("node", "m").alias("label"), "shares"), "labels")
@@ -34,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         moved = label.join(near, "node").select("node", "label", "shares", F.least("label", "m").alias("to"))
         jump = moved.select(F.col("node").alias("to"), F.col("to").alias("further"))
         moved = moved.join(jump, "to").select("node", F.col("label").alias("old"), F.least("to", "further").alias("label"), "shares")
-        moved = materialize(moved, "labels")
+        before, moved = label, materialize(moved, "labels")
+        release(before)
         label = moved.select("node", "label", "shares")
         if not moved.where("label <> old").limit(1).count():
+            release(both)
             return label.drop("shares")

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize, mix64, run_hash, slices, split_words, table, text_bytes
+from .common import frugal, materialize, mix64, release, run_hash, slices, split_words, table, text_bytes
 from .graph import components
 
 UNIVERSE, BANDS, ROWS, SEED = 20, 30, 5, 7
@@ -241,6 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sets = materialize(_sets(docs, shared.select("node").distinct(), width), "sets")
     label = components(_verify(tried, sets, percent))
     more = components(_links_in_groups(shared, label, sets, percent)).select(F.col("node").alias("label"), F.col("label").alias("last"))
+    release(sets, shared)  # components are written tables by now
     named = nodes.select("fa", "fb", "n", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.join(more, "label", "left").select("fa", "fb", "n", F.coalesce("last", "label").alias("component_id"))
     out = sig.select("doc_id", "n", "fa", "fb").join(named, ["fa", "fb", "n"], "left")
@@ -254,15 +256,30 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
 
 
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """docs plus _rid, a long of each row's own that is the same whenever it is asked for: number of its file and place in it.
+
+    Where docs is not a scan of files, it is written once. Files are numbered by a table of a row for each file.
+    """
+    try:
+        x = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        files = x.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long"))
+        files = materialize(files, "files")
+    except AnalysisException:
+        return materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    return x.join(files, "_file").select(*[F.col(f"`{c}`") for c in docs.columns], F.shiftleft("_number", 40).bitwiseOR(F.col("_at")).alias("_rid"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group one row stays (five words, 0.8): the smallest doc_id's; of several, that of the smallest fingerprint.
 
     Groups are of rows: rows that share an id are linked like any others, and so are rows without an id, which go first.
     """
-    rows = materialize(docs.withColumns({"_rid": F.monotonically_increasing_id(), "_print": F.xxhash64("text")}), "rows")
+    rows = with_row_id(docs)
     member = near_duplicates(rows.select(F.col("_rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("_rid"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_print", "_rid")
-    first = member.join(rows.select("_rid", "doc_id", "_print").hint("merge"), "_rid").groupBy("component_id").agg(F.min(order)["_rid"].alias("_rid"))
+    named = rows.select("_rid", "doc_id", F.xxhash64("text").alias("_print"))
+    first = member.join(named.hint("merge"), "_rid").groupBy("component_id").agg(F.min(order)["_rid"].alias("_rid"))
     return rows.join(first.select("_rid").hint("merge"), "_rid", "left_semi").select(*docs.columns)
 
 
