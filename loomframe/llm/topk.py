@@ -21,7 +21,13 @@ BLOCK, QUERY_BLOCK = 4096, 512
 
 
 def quantise(v: Column, factor: int = 256) -> Column:
-    return F.transform(v, lambda x: F.floor(F.lit(float(factor)) * x.cast("double")))
+    """floor(factor * x) of each component; one that 64 bits cannot hold is an error."""
+
+    def one(x: Column) -> Column:
+        y = F.lit(float(factor)) * x.cast("double")
+        return F.when(F.abs(y) < 2.0**63, F.floor(y)).otherwise(F.raise_error(F.lit("a component is too large for a whole number of 64 bits")).cast("long"))
+
+    return F.transform(v, one)
 
 
 def usable(v: Column) -> Column:
@@ -36,18 +42,23 @@ class Lists:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        limit = float(np.abs(rows).max(initial=0)) if rows.size else 0.0
-        self.limit, self.real = limit, self.rows.astype(np.float64)
+        self.real = self.rows.astype(np.float64)
+        self.limit = float(np.abs(self.real).max(initial=0))
         self.up = np.argsort(self.rows, axis=0, kind="stable")
 
     def top(self, q: np.ndarray, k: int, own: int, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k best rows but those with id own; score descending, id ascending."""
+        """(scores, ids) of the k best rows but those with id own; score descending, id ascending.
+
+        Scores that 64 bits may not hold are reckoned in Python's integers; one among the best that they do not hold is an error.
+        """
         n, d = self.rows.shape
-        exact = self.limit * float(np.abs(q).max(initial=0)) * max(d, 1) < 2**53
-        rows, w = (self.real, q.astype(np.float64)) if exact else (self.rows, q)
+        reach = self.limit * float(np.abs(q.astype(np.float64)).max(initial=0)) * max(d, 1)
+        kind = np.float64 if reach < 2**53 else np.int64 if reach < 2**62 else object
+        whole = object if kind is object else np.int64
+        rows, w = self.real if kind is np.float64 else self.rows.astype(kind), q.astype(kind)
         low, high = np.flatnonzero(q < 0), np.flatnonzero(q > 0)
         seen = np.zeros(n, bool)
-        best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best_s, best_i = np.zeros(0, whole), np.zeros(0, np.int64)
         at = 0
         while at < n:
             to = min(n, at + step)
@@ -61,19 +72,22 @@ class Lists:
             seen |= met
             new = new[self.ids[new] != own]
             if len(new):
-                score = (rows[new] @ w).astype(np.int64)
+                score = (rows[new] @ w).astype(whole)
                 if len(best_s) >= k:
                     good = score >= best_s[-1]
                     new, score = new[good], score[good]
                 s, i = np.concatenate([best_s, score]), np.concatenate([best_i, self.ids[new]])
-                keep = np.lexsort((i, -s))[:k]
+                keep = np.lexsort((i, -np.unique(s, return_inverse=True)[1]))[:k]
                 best_s, best_i = s[keep], i[keep]
             edge = n - to
-            bound = int((self.rows[self.up[to - 1, low], low] * q[low]).sum() + (self.rows[self.up[edge, high], high] * q[high]).sum())
+            ahead = self.rows[self.up[to - 1, low], low], self.rows[self.up[edge, high], high]
+            bound = int(sum((x.astype(whole) * q[at_].astype(whole)).sum() for x, at_ in zip(ahead, (low, high), strict=True)))
             if len(best_s) >= k and (best_s[-1] > bound or best_s[-1] == bound and not len(low) + len(high)) or seen.all():
                 break
             at, step = to, step * 2
-        return best_s, best_i
+        if whole is object and any(not -(2**63) <= x < 2**63 for x in best_s):
+            raise ValueError("a score is too large for a whole number of 64 bits")
+        return best_s.astype(np.int64), best_i
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -105,7 +119,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, block: int = BLOCK,
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 best of all other vectors for each vec_id divisible by 50. Null ids take no part."""
+    """The 5 best of all other vectors for each vec_id divisible by 50. Null ids take no part.
+
+    Vectors that are null or hold null or non-finite components take no part; an empty table gives no rows. Ties go to the
+    smaller vec_id; a candidate given twice is found twice, a query given twice asks once. Vectors of other lengths are not
+    compared. A component or a winning score beyond 64 bits is an error, never a wrapped number.
+    """
     e = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     e = e.select("vec_id", quantise(F.col("embedding")).alias("v"))
     return top_k(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v"), 5)

@@ -62,6 +62,27 @@ def test_threshold_stops_early():
     assert big.top(np.array([2**20]), 1, own=-1)[0].tolist() == [2**61]
 
 
+def test_scores_near_and_beyond_64_bits(spark, tables):
+    """Products that wrap in 64 bits are reckoned whole; what a long cannot hold is an error."""
+    rows = np.array([[2**40, 2**40], [2**40, -(2**40)], [-(2**40), 5]])
+    lists = Lists(np.arange(3), rows)
+    with pytest.raises(ValueError):
+        lists.top(np.array([2**40, 0]), 1, own=-1)
+    score, ids = lists.top(np.array([2**40, 2**40]), 1, own=0)
+    assert ids.tolist() == [1] and score.tolist() == [0]
+    with pytest.raises(ValueError):
+        lists.top(np.array([2**22, 2**22]), 1, own=-1)
+    score, ids = lists.top(np.array([2**22, 2**22 - 1]), 1, own=-1)
+    assert ids.tolist() == [0] and score.tolist() == [2**63 - 2**40]
+    assert lists.top(np.array([2**22, 2**22 - 1]), 3, own=0)[0].tolist() == [2**40, -(2**62) + 5 * (2**22 - 1)]
+    for big in (3e38, 3e34):
+        with pytest.raises(Exception, match="too large"):
+            op4_top_k(spark, tables(embeddings=[(0, [big, 1.0], 0), (1, [big, 1.0], 0), (2, [-big, 1.0], 0)])).collect()
+    small = [(0, [1e12, 1.0], 0), (1, [-1e12, 1.0], 0), (2, [0.0, 1.0], 0)]
+    got = [(r["vec_id"], r["score"]) for r in op4_top_k(spark, tables(embeddings=small[:1] + small[2:])).collect()]
+    assert got == [(2, 65536)]
+
+
 URLS = [
     (1, "http://a.example.org/es/x"), (2, "https://EXAMPLE.org/en/1?y"), (3, "http://example.org/en/2"), (4, "http://notexample.org/es/"), (5, "http://x.com/fr/1"), (6, "http://x.com/de/1#f"), (7, "http://x.net/fr/"), (8, None), (9, "no scheme"), (10, ""),
     (11, "http://org"), (12, "http://org/"), (13, "http://com/fr/"), (14, "http://a.com?/fr/"), (15, "://b.org/"), (16, "http://x.com/FR/1"), (17, "http://http://x.org/"), (18, "http://é.org/\n/x"), (1, "http://a.example.org/es/x"), (None, "http://q.com/de/"), (19, "http://." * 40 + "org/"),
