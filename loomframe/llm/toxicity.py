@@ -136,7 +136,8 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, limit: int = TRAIN_ROWS) -> ToxicityModel:
     """docs(doc_id, text), labels(doc_id, toxic); rows of the held-out fold, without label or text take no part.
 
-    A doc_id labelled twice counts as toxic if any label says so; a doc_id given twice is one row of the sample each.
+    A doc_id labelled twice counts as toxic if any label says so; one given with several texts counts once, with the smallest, so the
+    sample has `limit` rows at most. Where the half for the lexicon has one class only, trees are fitted without a lexicon.
     """
     spark = docs.sparkSession
     order = F.md5(F.col("doc_id").cast("string"))
@@ -144,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, limit
     sample = sample.orderBy(order, "doc_id").limit(limit)
     part = F.pmod(F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string"))), F.lit(6))
     # at most `limit` rows of two numbers
-    rows = materialize(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("part", part), "toxic_sample")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("part", part), "toxic_sample")
 
     def count() -> Callable:
         def f(texts: list[str | None]) -> dict:
@@ -156,13 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, limit
     lexicon = lexicon.groupBy("key").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     totals = {r["toxic"]: r["n"] for r in rows.where("part < 3").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = totals.get(1, 0), totals.get(0, 0)
-    if not n_bad or not n_good:
-        n = sum(totals.values())
-        return ToxicityModel({}, None, None, n_bad / n if n else 0.0)
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
     lexicon = lexicon.where(F.col("bad") + F.col("good") >= LEAST).withColumn("odds", odds).where("abs(odds) > 1")
     # the surest entries: log odds times the root of the support
-    weights = {r["key"]: r["odds"] for r in lexicon.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))), "key").limit(LEXICON).collect()}
+    lexicon = lexicon.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))), "key").limit(LEXICON)
+    weights = {r["key"]: r["odds"] for r in lexicon.collect()} if n_bad and n_good else {}
     held_weights = spark.sparkContext.broadcast(weights)
 
     def feature() -> Callable:
@@ -172,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, limit
     got = _map_texts(rows.where("part >= 3"), ["doc_id", "toxic", "part"], "x array<double>", feature).orderBy("doc_id", "part", "toxic").toPandas()
     x, y, fold = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, 1)), got["toxic"].to_numpy(np.float64), got["part"].to_numpy()
     if len(np.unique(y)) < 2:
-        return ToxicityModel({}, None, None, n_bad / (n_bad + n_good))
+        n = len(y) + n_bad + n_good
+        return ToxicityModel({}, None, None, (y.sum() + n_bad) / n if n else 0.0)
     margin = np.zeros(len(y))
     for k in np.unique(fold):  # each row is calibrated by trees that have not seen it
         other = fold != k if len(np.unique(y[fold != k])) == 2 else np.ones(len(y), bool)

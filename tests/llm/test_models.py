@@ -94,6 +94,17 @@ def test_toxicity_edges(spark, tables, edge_documents):
     assert op7_toxicity(spark, tables()).count() == 0
 
 
+def test_toxicity_without_a_lexicon(spark, tables):
+    """The lexicon's half has one class: the trees are fitted all the same. An id with many rows is one row of the sample."""
+    rows, labels = toxic_corpus(random.Random(8), 400)
+    part = lambda i: zlib.crc32(b"part" + str(i).encode()) % 6
+    labels = [x for x in labels if x[2] == 0 or part(x[0]) >= 3]
+    folder = tables(documents=rows + [r for r in rows if r[0] == labels[0][0]] * 500, labels=labels)
+    got = {r["doc_id"]: r for r in op7_toxicity(spark, folder).collect()}
+    assert len({r["score"] for r in got.values()}) > 1
+    assert np.mean([got[i]["predicted"] == t for i, _, t in labels]) > 0.95
+
+
 def test_undoing_obfuscation():
     assert [undo(x) for x in ("l0ser", "i-d-i-o-t", "stuuupid", "m0r.on")] == ["loser", "idiot", "stupid", "moron"]
 
