@@ -19,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize, mix64, release, run_hash, slices, split_words, table, text_bytes
+from .common import frugal, materialize, mix64, release, run_hash, slices, split_words, table, text_bytes, with_row_id
 from .graph import components
 
 UNIVERSE, BANDS, ROWS, SEED = 20, 30, 5, 7
@@ -256,20 +255,6 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """docs plus _rid, a long of each row's own that is the same whenever it is asked for: number of its file and place in it.
-
-    Where docs is not a scan of files, it is written once. Files are numbered by a table of a row for each file.
-    """
-    try:
-        x = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-        files = x.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")).cast("long"))
-        files = materialize(files, "files")
-    except AnalysisException:
-        return materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    return x.join(files, "_file").select(*[F.col(f"`{c}`") for c in docs.columns], F.shiftleft("_number", 40).bitwiseOR(F.col("_at")).alias("_rid"))
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group one row stays (five words, 0.8): the smallest doc_id's; of several, that of the smallest fingerprint.
 

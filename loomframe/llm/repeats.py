@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import frugal, materialize, mix64, run_hash, slices, small_batches, split_words, table, text_bytes, wide_hashes
+from .common import frugal, materialize, mix64, run_hash, slices, small_batches, split_words, table, text_bytes, wide_hashes, with_row_id
 from .suffix import suffix_order
 
 WIDTH, GRAM, CELL = 400, 32, 16
@@ -154,12 +154,12 @@ class Words:
 
 
 def _instances(docs: DataFrame, units: tuple[Bytes | Words, ...]) -> DataFrame:
-    """docs(k1, k2, text): the contexts of each unit u by document (of very long ones by pieces), places relative to the document."""
+    """docs(k1, text): the contexts of each unit u by document (of very long ones by pieces), places relative to the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SEGMENT):
-                data, offsets = text_bytes(part.column(2))
+                data, offsets = text_bytes(part.column(1))
                 for u, unit in enumerate(units):
                     for row, off, size, lead, anchor, ctx in unit.contexts(data, offsets, SEGMENT):
                         # the unit is part of the anchor: units never share one
@@ -167,11 +167,11 @@ def _instances(docs: DataFrame, units: tuple[Bytes | Words, ...]) -> DataFrame:
                         of, first = np.unique(row, return_index=True)
                         cut = pa.array(np.append(first, len(row)), pa.int32())
                         lists = [pa.ListArray.from_arrays(cut, pa.array(x, k)) for x, k in ((off, pa.int32()), (size, pa.int32()), (lead, pa.int32()), (anchor, pa.int64()), (ctx, pa.int64()))]
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(np.full(len(of), u), pa.int8()), *lists], names=names)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(np.full(len(of), u), pa.int8()), *lists], names=names)
 
-    names = ["k1", "k2", "u", "off", "len", "lead", "anchor", "ctx"]
-    kinds = "k1 long, k2 long, u byte, off array<int>, len array<int>, lead array<int>, anchor array<long>, ctx array<long>"
-    return docs.select("k1", "k2", "text").mapInArrow(frugal(run), kinds)
+    names = ["k1", "u", "off", "len", "lead", "anchor", "ctx"]
+    kinds = "k1 long, u byte, off array<int>, len array<int>, lead array<int>, anchor array<long>, ctx array<long>"
+    return docs.select("k1", "text").mapInArrow(frugal(run), kinds)
 
 
 def repeated_windows(texts: list[bytes], leads: list[int], width: int = WIDTH) -> list[np.ndarray]:
@@ -332,9 +332,9 @@ def _counted_contexts(bytes_: DataFrame, units: tuple[Bytes | Words, ...]) -> Da
 
 
 def repeated_spans(keyed: DataFrame, *units: Bytes | Words) -> DataFrame:
-    """keyed(k1, k2, text), k1 and k2 a key of the row's id and text: (k1, k2, spans), distinct byte ranges (u, a, b) of repeated windows, not merged."""
+    """keyed(k1, text), k1 each row's own: (k1, spans), distinct byte ranges (u, a, b) of repeated windows, not merged."""
     lists = materialize(_instances(keyed.where(F.octet_length("text") >= min(x.least for x in units)), units), "contexts")
-    inst = lists.select("k1", "k2", "u", F.explode(F.arrays_zip("off", "len", "lead", "anchor", "ctx")).alias("c")).select("k1", "k2", "u", "c.*")
+    inst = lists.select("k1", "u", F.explode(F.arrays_zip("off", "len", "lead", "anchor", "ctx")).alias("c")).select("k1", "u", "c.*")
     # two numbers for four: rows of a shuffle are as wide as they have columns
     place = F.shiftleft(F.col("off").cast("long"), 8).bitwiseOR(F.col("u").cast("long"))
     reach = F.shiftleft(F.col("len").cast("long"), 32).bitwiseOR(F.col("lead").cast("long"))
@@ -357,18 +357,17 @@ def repeated_spans(keyed: DataFrame, *units: Bytes | Words) -> DataFrame:
                     rows = pa.RecordBatch.from_arrays([*of.values(), pa.array([data[a : a + n] for a, n in zip(off.tolist(), size.tolist(), strict=True)], pa.binary())], names=[*of, "bytes"])
                     yield rows.filter(pa.array(own))
 
-    # rows that share id and text share k1, and another row might: a context comes from rows that have it. One that comes
-    # twice has n > 1, so no window is asked for on its account
+    # each context is asked of one row, whatever copies it has; its hash is checked against the bytes
     texts = keyed.select("k1", "text").join(asked, "k1").select("text", "asked")
     mixed = texts.mapInArrow(frugal(cut), "u byte, anchor long, ctx long, n long, d long, lead int, bytes binary")
     mixed = materialize(mixed, "bytes")
     near = mixed.where(F.col("d") <= HOT).repartition("anchor").sortWithinPartitions("u", "anchor", "ctx", "n")
     found = whole.union(_sorted_contexts(near, units)).union(_counted_contexts(mixed.where(F.col("d") > HOT), units))
     # `found` has a row for each context, `inst` one for each occurrence: a context with very many is a skewed side that AQE splits
-    placed = inst.select("k1", "k2", "u", "off", "anchor", "ctx").join(found, ["anchor", "ctx"]).select("k1", "k2", "u", "off", F.explode("ranges").alias("r"))
+    placed = inst.select("k1", "u", "off", "anchor", "ctx").join(found, ["anchor", "ctx"]).select("k1", "u", "off", F.explode("ranges").alias("r"))
     span = F.struct("u", (F.col("off") + F.col("r.a")).alias("a"), (F.col("off") + F.col("r.b")).alias("b"))
-    # rows that share id and text have the same spans: each is taken once, before the shuffle too
-    return placed.groupBy("k1", "k2").agg(F.collect_set(span).alias("spans"))
+    # a span that several contexts give is taken once, before the shuffle too
+    return placed.groupBy("k1").agg(F.collect_set(span).alias("spans"))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -382,9 +381,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, keep: list[str], *units: Bytes | Words, cut: int | None = None) -> DataFrame:
-    """docs(doc_id, text, keep...): keep..., n_bytes, n_removed, n_spans, spans (merged), rest (binary), kept_sha256: texts without the repeated windows of the first `cut` units (all, if None); passages, passage_bytes: number and bytes of the other units' merged windows."""
+    """docs(text, keep...): keep..., n_bytes, n_removed, n_spans, spans (merged), rest (binary), kept_sha256: texts without the repeated windows of the first `cut` units (all, if None); passages, passage_bytes: number and bytes of the other units' merged windows."""
     small_batches(docs.sparkSession)
-    keyed = docs.withColumns({"k1": F.xxhash64(F.lit(1), "doc_id", "text"), "k2": F.xxhash64(F.lit(2), "text", "doc_id")})
+    # a number of each row's own, not of its id and text: copies without an id would share it, and meet in one task
+    rows = with_row_id(docs.select("text", *keep))
     first = len(units) if cut is None else cut
     added = "n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>, rest binary, kept_sha256 string, passages long, passage_bytes long"
     schema = StructType([*docs.select(*keep).schema, *StructType.fromDDL(added)])
@@ -411,7 +411,8 @@ def without_repeats(docs: DataFrame, keep: list[str], *units: Bytes | Words, cut
                         x.append(v)
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=[f.name for f in schema])
 
-    return keyed.join(repeated_spans(keyed, *units), ["k1", "k2"], "left").select("text", "spans", *keep).mapInArrow(frugal(run), schema)
+    spans = repeated_spans(rows.select(F.col("_rid").alias("k1"), "text"), *units)
+    return rows.join(spans.withColumnRenamed("k1", "_rid"), "_rid", "left").select("text", "spans", *keep).mapInArrow(frugal(run), schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,7 +436,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A cut can fall inside a character; such broken ends are dropped. n_chars follows the text. Null and empty texts, null and
     repeated ids stay as they are; rows with equal texts (an earlier stage leaves one of each) lose all of them.
     """
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
     out = without_repeats(whole, ["row"], Bytes(WIDTH), Words(WORDS)).where("n_removed = 0 OR n_removed < n_bytes")
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.expr("try_validate_utf8(cast(rest as string))"))
     text = F.coalesce(text, F.when(F.col("n_removed") > 0, F.expr("replace(make_valid_utf8(cast(rest as string)), '\ufffd', '')")))

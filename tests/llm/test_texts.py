@@ -220,6 +220,26 @@ def test_repeats_edges(spark, tables, edge_documents):
     assert op8_suffix_dedup(spark, tables()).count() == 0
 
 
+def test_copies_without_an_id_are_asked_once(spark, tables):
+    """Thousands of rows with one text and no id, and a text that shares a part: a row's contexts are cut from that row alone."""
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    part = say(450)
+    text, other = part + say(300), say(200) + part
+    rows = [(None, text)] * 10_000 + [(1, other), (2, say(900))]
+    folder = tables(documents=[(i, t, "en", "s", 1) for i, t in rows])
+    got = op8_suffix_dedup(spark, folder).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["count"]) for r in got) == [(0, 750, 750, 1, 10_000), (1, 650, 450, 1, 1), (2, 900, 0, 0, 1)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    written = []
+    keep, repeats.materialize = repeats.materialize, lambda df, name: written.append((name, out := keep(df, name))) or out
+    try:
+        repeats.without_repeats(docs, ["doc_id"], repeats.Bytes(400)).count()
+    finally:
+        repeats.materialize = keep
+    assert dict(written)["bytes"].count() < 20
+
+
 def test_long_texts_in_pieces(spark, tables, monkeypatch):
     rng = random.Random(6)
     p = "".join(rng.choice("abcdefgh") for _ in range(3000))
