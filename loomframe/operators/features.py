@@ -58,3 +58,8 @@ def with_fallback(records: DataFrame, ord_: str = "ord", ok: str = "ok", tries:
 def failed_images(cache: DataFrame) -> DataFrame:
     return cache.where(~F.col("ok")).select("idx", "image")
 
+
+def images_of(ids: DataFrame, asked: DataFrame) -> DataFrame:
+    """ids(image, idx) read from idx to image: (idx, image) of each asked idx; null where no image has it, the last in order of names where several have."""
+    inverse = ids.groupBy("idx").agg(F.max("image").alias("image"))
+    return asked.select("idx").distinct().join(inverse, "idx", "left")

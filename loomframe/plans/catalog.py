@@ -18,7 +18,7 @@ from ..functions import sequences as Q
 from ..functions import text as T
 from ..operators import batches, conversations, features, labels, metrics, sampling
 from ..operators.inference import Stub, encode_images, infer, infer_once
-from ..sources import files, sinks
+from ..sources import files, schemas, sinks
 from ..sources.shared import fresh_path
 from ..streaming import incremental
 
@@ -588,10 +588,11 @@ def encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_images(p, _byte_counter, 1).select("image", "idx", "ok", F.col("features")[0][0].cast("double").alias("size"))
 
 
-@query("""WITH v AS (SELECT DISTINCT source AS video_id FROM documents), n AS (SELECT source AS video_id, count(*) AS n FROM documents WHERE doc_id % 50 = 0 GROUP BY 1)
+@query("""WITH v AS (SELECT DISTINCT source AS video_id FROM documents), n AS (SELECT source AS video_id, count(*) AS n FROM documents WHERE md5(source) >= '4' GROUP BY 1)
 SELECT count(*) AS videos, coalesce(sum(n), 0)::BIGINT AS frames, count(*) FILTER (n IS NULL) AS failed FROM v LEFT JOIN n USING (video_id)""")
 def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), F.expr("CASE WHEN doc_id % 50 = 0 THEN concat('f', doc_id) END").alias("frame_path"))
+    """Every document is a frame; some of the sources could not be read and have none."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), F.expr("CASE WHEN md5(source) >= '4' THEN concat('f', doc_id) END").alias("frame_path"))
     return files.extraction_counts(d.select("video_id").distinct(), d)
 
 
@@ -649,6 +650,19 @@ def failed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.failed_images(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.expr("concat('v', vec_id)").alias("image"), (F.col("vec_id") % 7 != 0).alias("ok")))
 
 
+@query("""WITH p AS (SELECT url, min(page_id) AS first FROM pages WHERE url <> '' GROUP BY 1), i AS (SELECT row_number() OVER (ORDER BY first, url) - 1 AS idx, url AS image, first FROM p)
+SELECT idx, image, count(*) OVER () AS failed FROM i WHERE first % 3 = 0""")
+def failed_images_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of distinct pages is written; the places that its table of failures names are turned back into images."""
+    ids, path = features.dense_ids(read(spark, sf_dir, "pages").select("url", "page_id"), "url", "page_id"), fresh_path(spark, "features")
+    ids = ids.withColumnRenamed("url", "image")
+    first = read(spark, sf_dir, "pages").groupBy(F.col("url").alias("image")).agg(F.min("page_id").alias("first"))
+    made = ids.join(first, "image").select("image", "idx", (F.col("first") % 3 != 0).alias("ok"), F.array(F.array(F.length("image").cast("float"))).alias("features"))
+    sinks.write_features(made, path, "float32", 1, 1, "pages")
+    failed = spark.read.schema(schemas.FEATURES_META).parquet(f"{path}/meta").first()["failed"]
+    return features.images_of(files.read_features(spark, path, "float32"), files.read_failed(spark, path)).withColumn("failed", F.lit(failed))
+
+
 @query("""SELECT concat('{', chr(10), '  "n": ', count(*), ',', chr(10), '  "first": ', coalesce(min(doc_id)::VARCHAR, 'null'), ',', chr(10), '  "note": null', chr(10), '}') AS summary FROM documents""")
 def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = read(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.lit(None).cast("string").alias("note"))

@@ -116,3 +116,8 @@ def read_features(spark: SparkSession, path: str, dtype: str) -> DataFrame:
     if meta is None or meta["dtype"] != dtype:
         raise ValueError(f"the features are {meta and meta['dtype']}, not {dtype}")
     return spark.read.schema(schemas.FEATURES).parquet(f"{path}/features")
+
+
+def read_failed(spark: SparkSession, path: str) -> DataFrame:
+    """(idx) of images whose features could not be made."""
+    return spark.read.schema(schemas.FEATURES_FAILED).parquet(f"{path}/failed")

@@ -9,6 +9,7 @@ TEACHER = f"frame_path string, video_id string, split string, time_s double, gt_
 CROSS = "frame_path string, video_id string, split_source string, gt_is_sludge boolean, teacher_sludge string, teacher_layout string, teacher_desc string, judge_sludge string, judge_reason string, judge_raw string"
 CONVERSATION = "id string, image string, conversations array<struct<from:string,value:string>>, _meta struct<split:string,task:string,layout:string,is_sludge:boolean>"
 FEATURES = "image string, idx long, ok boolean, features array<array<float>>"
-FEATURES_META = "num_query_tokens int, hidden_size int, dtype string, count long, failed_indices array<long>, bundle string"
+FEATURES_META = "num_query_tokens int, hidden_size int, dtype string, count long, failed long, bundle string"
+FEATURES_FAILED = "idx long"
 LOSS_LOG = "step long, epoch double, wall_s double, loss double, grad_norm double, learning_rate double, eval_loss double"
 EVALUATED = "frame_path string, video_id string, gt boolean, layout string, reply string, error string"

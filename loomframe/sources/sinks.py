@@ -49,9 +49,9 @@ def write_buckets(features: DataFrame, path: str, name: str, buckets: int, key:
 
 
 def write_features(features: DataFrame, path: str, dtype: str, queries: int, width: int, bundle: str, force: bool = False) -> None:
-    """features(image, idx, ok, features) and its meta row; refuses to replace a table unless forced."""
+    """features(image, idx, ok, features), the idx of those that failed as a table, and a meta row with counts; refuses to replace a table unless forced."""
     mode = "overwrite" if force else "errorifexists"
     features.write.mode(mode).parquet(f"{path}/features")
-    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("idx"))))
-    meta = features.agg(F.lit(queries).alias("num_query_tokens"), F.lit(width).alias("hidden_size"), F.lit(dtype).alias("dtype"), F.count("*").alias("count"), failed.alias("failed_indices"), F.lit(bundle).alias("bundle"))
+    features.where(~F.col("ok")).select("idx").write.mode(mode).parquet(f"{path}/failed")
+    meta = features.agg(F.lit(queries).alias("num_query_tokens"), F.lit(width).alias("hidden_size"), F.lit(dtype).alias("dtype"), F.count("*").alias("count"), F.count_if(~F.col("ok")).alias("failed"), F.lit(bundle).alias("bundle"))
     meta.write.mode(mode).parquet(f"{path}/meta")

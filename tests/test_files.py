@@ -65,7 +65,8 @@ def test_features_table(spark, tmp_path):
     p = str(tmp_path / "f")
     sinks.write_features(f, p, "float32", 1, 1, "x")
     assert files.read_features(spark, p, "float32").count() == 2
-    assert spark.read.parquet(f"{p}/meta").first()["failed_indices"] == [1]
+    assert spark.read.parquet(f"{p}/meta").first()["failed"] == 1
+    assert [r["idx"] for r in files.read_failed(spark, p).collect()] == [1]
     with pytest.raises(ValueError):
         files.read_features(spark, p, "float16")
     with pytest.raises(Exception):  # noqa: B017

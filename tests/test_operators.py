@@ -164,3 +164,10 @@ def test_places_over_many_ranges(spark, tmp_path):
 def test_pairs_are_joined_by_key(spark):
     runs = spark.createDataFrame([("a", "x", "1"), ("b", "x", "2"), ("b", "y", "3"), ("a", "y", "4"), ("c", "y", "5")], "key string, run string, reply string")
     assert {tuple(r) for r in metrics.paired(runs, "key", "run", "reply", "x", "y").collect()} == {("a", "1", "4"), ("b", "2", "3")}
+
+
+def test_places_are_turned_back_into_images(spark):
+    ids = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("d", 2)], "image string, idx long")
+    asked = spark.createDataFrame([(1,), (1,), (7,)], "idx long")
+    assert {tuple(r) for r in features.images_of(ids, asked).collect()} == {(1, "c"), (7, None)}
+    assert features.images_of(ids, asked.limit(0)).count() == 0
