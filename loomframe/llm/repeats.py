@@ -348,16 +348,15 @@ def repeated_spans(keyed: DataFrame, *units: Bytes | Words) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SEGMENT):
-                for text, asked in zip(part.column(0), part.column(1), strict=True):
-                    data, x = text.as_buffer().to_pybytes(), asked.values
-                    of = {f: x.field(f) for f in ("u", "anchor", "ctx", "n", "d", "lead")}
-                    off, size = x.field("off").to_numpy(), x.field("len").to_numpy()
-                    own = off + size <= len(data)
-                    own[own] = run_hash(np.frombuffer(data, np.uint8), off[own], off[own] + size[own]).view(np.int64) == x.field("ctx").to_numpy()[own]
-                    rows = pa.RecordBatch.from_arrays([*of.values(), pa.array([data[a : a + n] for a, n in zip(off.tolist(), size.tolist(), strict=True)], pa.binary())], names=[*of, "bytes"])
-                    yield rows.filter(pa.array(own))
-
-    # each context is asked of one row, whatever copies it has; its hash is checked against the bytes
+                data, offsets = text_bytes(part.column(0))
+                lists = part.column(1)
+                x, data = lists.flatten(), data.tobytes()
+                first = np.repeat(offsets[:-1], lists.value_lengths().to_numpy()) + x.field("off").to_numpy()
+                last = first + x.field("len").to_numpy()
+                of = {f: x.field(f) for f in ("u", "anchor", "ctx", "n", "d", "lead")}
+                yield pa.RecordBatch.from_arrays([*of.values(), pa.array([data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())], names=[*of, "bytes"])
+
+    # each context is asked of the one row that its place is of, whatever copies it has
     texts = keyed.select("k1", "text").join(asked, "k1").select("text", "asked")
     mixed = texts.mapInArrow(frugal(cut), "u byte, anchor long, ctx long, n long, d long, lead int, bytes binary")
     mixed = materialize(mixed, "bytes")
