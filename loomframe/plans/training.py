@@ -104,9 +104,7 @@ def loss_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = incremental.stream_lines(spark, source, "run string, at timestamp, step long, loss double, eval_loss double")
         run = losses.follow(lines, "2 days").writeStream.outputMode("update").foreachBatch(lambda rows, number: committed.commit(rows, number, out) and None)
         run.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    names = [c.split()[0] for c in losses.RESULT.split(", ")]
-    latest = committed.read_committed(spark, out, losses.RESULT).groupBy("run").agg(F.max_by(F.struct(*names[1:]), "batch").alias("r"))
-    return latest.select("run", "r.*")
+    return losses.results(committed.read_committed(spark, out, losses.PART))
 
 
 @query("SELECT frame_path, CASE WHEN ('0x' || substr(md5(frame_path), 1, 8))::BIGINT % 2 = 1 THEN 'Yes.' ELSE 'No.' END AS reply, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS batch FROM (SELECT doc_id, concat('f/', doc_id) AS frame_path FROM documents)")

@@ -201,6 +201,55 @@ def test_fold_in_parts_is_fold_of_all():
         assert parts == whole
 
 
+@pytest.mark.parametrize("patience", [1, 2, 4])
+def test_results_of_blocks_are_those_of_the_run(spark, patience):
+    rng, parts, want = random.Random(patience), [], {}
+    for k in range(60):
+        rows = [(s, s, None, float(rng.randint(0, 9) + (60 - s) * (k % 3) / 9)) if rng.random() < 0.7 else (s, s, 1.0, None) for s in range(-6, rng.randint(-5, 50))]
+        want[f"r{k}"] = plain_losses(rows, patience)
+        # blocks of four steps, some far apart, each with a result of an earlier batch
+        for block in {r[1] >> 2 for r in rows}:
+            own = [r for r in rows if r[1] >> 2 == block]
+            for batch, some in enumerate((own[:1], own)):
+                n_train, n_eval, best, loss, since, stop, *first = losses.fold(losses.NOTHING, some, patience)
+                parts.append((f"r{k}", n_train, n_eval, best, loss, stop, block << (k % 2 * 40), since, *map(list, first), batch))
+    got = losses.results(spark.createDataFrame(parts, f"{losses.PART}, batch long"), patience).collect()
+    assert {r["run"]: tuple(r)[1:] for r in got} == want
+
+
+def test_a_run_is_kept_in_blocks_of_steps(spark):
+    rows = [("r", START + dt.timedelta(minutes=k), step, None, loss) for k, (step, loss) in enumerate([(0, 3.0), (1 << losses.BLOCK, 4.0), (70_000, 2.0), (200_000, 5.0), (300_000, 6.0)])]
+    schema = "run string, at timestamp, step long, loss double, eval_loss double"
+    source, out = fresh_path(spark, "log"), fresh_path(spark, "out")
+    spark.createDataFrame(rows, schema).write.json(source)
+    q = losses.follow(spark.readStream.schema(schema).json(source), "20 minutes").writeStream.outputMode("update").foreachBatch(lambda rows, n: committed.commit(rows, n, out) and None)
+    q.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    parts = committed.read_committed(spark, out, losses.PART)
+    assert sorted(r["block"] for r in parts.select("block").distinct().collect()) == [0, 1, 3, 4]
+    assert [tuple(r) for r in losses.results(parts).collect()] == [("r", 0, 5, 70_000, 2.0, 300_000)]
+
+
+def test_steps_count_in_any_order_of_times(spark):
+    # step 5 is long settled when steps 1 and 3, older by number, come in time; step 5 then comes once more and is not counted
+    arrivals = [[(0, 5, None, 2.0), (0, 6, 1.0, None)], [(500, 40, None, 4.0)], [(1000, 1, None, 3.0), (1001, 3, None, 3.5), (1000, 5, None, 0.1), (1000, 6, 9.0, None), (1002, 2, 1.0, None)]]
+    source, out, schema = fresh_path(spark, "log"), fresh_path(spark, "out"), "run string, at timestamp, step long, loss double, eval_loss double"
+    for part in arrivals:
+        for again in (part, part[:1]):  # a state settles steps when rows of its block come
+            spark.createDataFrame([("r", START + dt.timedelta(minutes=m), *rest) for m, *rest in again], schema).write.mode("append").json(source)
+            q = losses.follow(spark.readStream.schema(schema).json(source), "20 minutes").writeStream.outputMode("update").foreachBatch(lambda rows, n: committed.commit(rows, n, out) and None)
+            q.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = losses.results(committed.read_committed(spark, out, losses.PART)).collect()
+    assert [tuple(r) for r in got] == [("r", 2, 4, 5, 2.0, None)]
+
+
+def test_rows_of_one_time_count_alike_in_any_order():
+    rows = [(5, 1, 2.0, None), (5, 1, None, 1.0), (5, 1, None, 3.0), (4, 1, None, 9.0), (5, 1, None, None)]
+    for k in range(len(rows)):
+        held = {}
+        losses.keep_latest(held, rows[k:] + rows[:k])
+        assert held == {1: (5, 1, None, 3.0)}
+
+
 # --- appends ---
 
 
