@@ -55,6 +55,8 @@ class Known:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        #: Without the places of ids in the text, where the library can leave them out.
+        self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         #: Ids that end a word: a word of letters has exactly one, its last.
         self.ends = np.fromiter(((tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
@@ -67,11 +69,11 @@ class Known:
     def encode(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number by piece) of words of ASCII letters, which are encoded many at a time, and of other pieces."""
         some = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)), np.uint32)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.batch(some, add_special_tokens=False)), np.uint32)
         last = np.flatnonzero(self.ends[flat]) + 1
         if len(last) != len(words) or (len(last) and last[-1] != len(flat)):  # a vocabulary whose words do not end so
             words, others, flat, last = [], words + others, flat[:0], last[:0]
-        ids = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
+        ids = [e.ids for e in self.batch(others, add_special_tokens=False)]
         more = np.fromiter(chain.from_iterable(ids), np.uint32)
         return np.concatenate([flat, more]), np.concatenate([np.diff(last, prepend=0), np.fromiter(map(len, ids), np.int64, len(ids))])
 
@@ -106,8 +108,8 @@ def vocabulary_size(path: str) -> int:
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """Texts as pieces between which the tokenizer always cuts, and the bounds of each text in them. ASCII capitals are lower-cased
-    (not before a longer character, with which they may compose)."""
+    """Texts as pieces between which the tokenizer always cuts, without white space, and the bounds of each text in them. ASCII capitals
+    are lower-cased (not before a longer character, with which they may compose)."""
     capital = (data >= 65) & (data <= 90)
     capital[:-1] &= data[1:] < 128
     data = data + (capital.astype(np.uint8) << 5)
@@ -115,7 +117,9 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray,
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = _CUT[(kind[:-1] << 3) | kind[1:]]
     cut[offsets] = True
-    at = np.flatnonzero(cut)
+    # white space has no ids, and ends a piece on both sides
+    kept = np.flatnonzero(kind != _SPACE)
+    data, at, offsets = data[kept], np.append(np.flatnonzero(cut[kept]), len(kept)), np.searchsorted(kept, offsets)
     pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
     return pieces.dictionary_encode(), np.searchsorted(at, offsets)
 

@@ -50,6 +50,14 @@ def test_pieces_are_encoded_as_in_their_text(texts):
     assert encoded(texts) == library(texts)
 
 
+def test_white_space_is_no_piece():
+    texts = [" a\tB  c12", "", " \n ", "x", "é 'y' "]
+    raw = [t.encode() for t in texts]
+    coded, bounds = token_ids._pieces(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    pieces = coded.to_pylist()
+    assert [pieces[a:b] for a, b in zip(bounds[:-1], bounds[1:])] == [["a", "b", "c", "1", "2"], [], [], ["x"], ["é", "'y'"]]
+
+
 def test_a_small_memory_of_pieces(monkeypatch):
     monkeypatch.setattr(token_ids, "MEMORY", 3)
     assert encoded(ODD) == library(ODD) and encoded(ODD[:3]) == library(ODD[:3])
