@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import frugal, materialize, mix64, run_hash, slices, small_batches, split_words, table, text_bytes, wide_hashes, with_row_id
+from .common import frugal, materialize, mix64, release, run_hash, slices, small_batches, split_words, table, text_bytes, wide_hashes, with_row_id
 from .suffix import suffix_order
 
 WIDTH, GRAM, CELL = 400, 32, 16
@@ -331,8 +331,8 @@ def _counted_contexts(bytes_: DataFrame, units: tuple[Bytes | Words, ...]) -> Da
     return hit.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
-def repeated_spans(keyed: DataFrame, *units: Bytes | Words) -> DataFrame:
-    """keyed(k1, text), k1 each row's own: (k1, spans), distinct byte ranges (u, a, b) of repeated windows, not merged."""
+def repeated_spans(keyed: DataFrame, *units: Bytes | Words, tidy: bool = False) -> DataFrame:
+    """keyed(k1, text), k1 each row's own: (k1, spans), distinct byte ranges (u, a, b) of repeated windows, not merged. tidy: only they stay in the shared folder."""
     lists = materialize(_instances(keyed.where(F.octet_length("text") >= min(x.least for x in units)), units), "contexts")
     inst = lists.select("k1", "u", F.explode(F.arrays_zip("off", "len", "lead", "anchor", "ctx")).alias("c")).select("k1", "u", "c.*")
     # two numbers for four: rows of a shuffle are as wide as they have columns
@@ -366,7 +366,10 @@ def repeated_spans(keyed: DataFrame, *units: Bytes | Words) -> DataFrame:
     placed = inst.select("k1", "u", "off", "anchor", "ctx").join(found, ["anchor", "ctx"]).select("k1", "u", "off", F.explode("ranges").alias("r"))
     span = F.struct("u", (F.col("off") + F.col("r.a")).alias("a"), (F.col("off") + F.col("r.b")).alias("b"))
     # a span that several contexts give is taken once, before the shuffle too
-    return placed.groupBy("k1").agg(F.collect_set(span).alias("spans"))
+    spans = materialize(placed.groupBy("k1").agg(F.collect_set(span).alias("spans")), "spans")
+    if tidy:  # before the texts go through a shuffle once more
+        release(lists, ctx, mixed)
+    return spans
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -379,8 +382,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, keep: list[str], *units: Bytes | Words, cut: int | None = None) -> DataFrame:
-    """docs(text, keep...): keep..., n_bytes, n_removed, n_spans, spans (merged), rest (binary), kept_sha256: texts without the repeated windows of the first `cut` units (all, if None); passages, passage_bytes: number and bytes of the other units' merged windows."""
+def without_repeats(docs: DataFrame, keep: list[str], *units: Bytes | Words, cut: int | None = None, tidy: bool = False) -> DataFrame:
+    """docs(text, keep...): keep..., n_bytes, n_removed, n_spans, spans (merged), rest (binary), kept_sha256: texts without the repeated windows of the first `cut` units (all, if None); passages, passage_bytes: number and bytes of the other units' merged windows. tidy: as in repeated_spans."""
     small_batches(docs.sparkSession)
     # a number of each row's own, not of its id and text: copies without an id would share it, and meet in one task
     rows = with_row_id(docs.select("text", *keep))
@@ -410,7 +413,7 @@ def without_repeats(docs: DataFrame, keep: list[str], *units: Bytes | Words, cut
                         x.append(v)
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=[f.name for f in schema])
 
-    spans = repeated_spans(rows.select(F.col("_rid").alias("k1"), "text"), *units)
+    spans = repeated_spans(rows.select(F.col("_rid").alias("k1"), "text"), *units, tidy=tidy)
     return rows.join(spans.withColumnRenamed("k1", "_rid"), "_rid", "left").select("text", "spans", *keep).mapInArrow(frugal(run), schema)
 
 
@@ -425,7 +428,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_passages and passage_bytes) tells which documents hold passages of 51 words that also start elsewhere, whatever their bytes.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = without_repeats(docs, ["doc_id"], Bytes(WIDTH), Words(WORDS), cut=1)
+    out = without_repeats(docs, ["doc_id"], Bytes(WIDTH), Words(WORDS), cut=1, tidy=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("passages") > 0).alias("has_passage"), F.col("passages").alias("n_passages"), "passage_bytes")
 
 
@@ -435,9 +438,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A cut can fall inside a character; such broken ends are dropped. n_chars follows the text. Null and empty texts, null and
     repeated ids stay as they are; rows with equal texts (an earlier stage leaves one of each) lose all of them.
     """
-    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
-    out = without_repeats(whole, ["row"], Bytes(WIDTH), Words(WORDS)).where("n_removed = 0 OR n_removed < n_bytes")
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.expr("try_validate_utf8(cast(rest as string))"))
+    # a text goes through the shuffle once: what is left of it is the text itself where nothing was removed
+    whole = docs.select("text", F.col("text").isNotNull().alias("has_text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    out = without_repeats(whole, ["has_text", "row"], Bytes(WIDTH), Words(WORDS), tidy=True).where("n_removed = 0 OR n_removed < n_bytes")
+    text = F.when(F.col("n_removed") == 0, F.when(F.col("has_text"), F.col("rest").cast("string"))).otherwise(F.expr("try_validate_utf8(cast(rest as string))"))
     text = F.coalesce(text, F.when(F.col("n_removed") > 0, F.expr("replace(make_valid_utf8(cast(rest as string)), '\ufffd', '')")))
     fixed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
     return out.select(*[fixed[c].alias(c) if c in fixed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
