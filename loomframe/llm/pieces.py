@@ -88,7 +88,8 @@ class Cutter:
     """Texts to words: code points, first places of words, and the text of each."""
 
     def __init__(self, classes: tuple[np.ndarray, np.ndarray]):
-        self.of, self.near = classes
+        self.of, near = classes
+        self.near, self.classes = near.ravel(), np.int32(len(near))
 
     def __call__(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """(all normalised texts, first place of each word and the end, row of each word, 64-bit hash of each word)."""
@@ -102,20 +103,25 @@ class Cutter:
             return joined, np.zeros(1, np.int64), z, z.astype(np.uint64)
         c = self.of[u]
         first = np.ones(n + 1, bool)
-        first[1:-1] = ~self.near[c[:-1], c[1:]]
+        first[1:-1] = ~self.near[c[:-1] * self.classes + c[1:]]
         first[ends] = True
         start = np.flatnonzero(first)
-        return joined, start, np.searchsorted(ends, start[:-1], side="right"), _hashes(u, start)
+        per = np.diff(np.searchsorted(start, ends), prepend=0)
+        return joined, start, np.repeat(np.arange(len(texts)), per), _hashes(joined, u, start)
 
 
-def _hashes(u: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the code points between neighbouring starts."""
-    return run_hash(u.view(np.uint8), 4 * start[:-1], 4 * start[1:])
+def _hashes(joined: str, u: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words between neighbouring starts, by their bytes in UTF-8; u: the code points of joined."""
+    wide = np.zeros(len(u) + 1, np.int32)  # bytes past one for each character
+    np.cumsum((u > 0x7F).astype(np.int8) + (u > 0x7FF) + (u > 0xFFFF), out=wide[1:])
+    at = start + wide[start]
+    return run_hash(np.frombuffer(joined.encode(), np.uint8), at[:-1], at[1:])
 
 
 def word_hash(words: list[str]) -> np.ndarray:
-    u = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-    return _hashes(u, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64))
+    joined = "".join(words)
+    u = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    return _hashes(joined, u, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64))
 
 
 def in_lattice(word: str, single: frozenset[str], bound: frozenset[str]) -> bool:
@@ -150,13 +156,15 @@ def _words(docs: DataFrame, pieces: Pieces) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 blocks = part.column(1).to_numpy()
                 joined, start, row, h = cutter(part.column(0).to_pylist())
-                for block in np.unique(blocks[row]) if len(row) else ():
+                for block in np.unique(blocks) if len(row) else ():
                     seen[block] = seen.pop(block, None) or Known()
                     if len(seen) > 32:  # rows of a file come in order: blocks met long ago are done
                         del seen[next(iter(seen))]
-                    own = np.flatnonzero(blocks[row] == block)
-                    u, at = np.unique(h[own], return_index=True)
-                    new = own[at[seen[block].new(u)]].tolist()
+                    own = np.flatnonzero((blocks == block)[row])
+                    own = own[np.argsort(h[own])]
+                    u = h[own]
+                    one = np.append(True, u[1:] != u[:-1])[: len(u)]
+                    new = own[one][seen[block].new(u[one])].tolist()
                     words = [joined[start[i] : start[i + 1]] for i in new]
                     words = [w for w in words if in_lattice(w, single, bound)]
                     yield pa.RecordBatch.from_pydict({"block": np.full(len(words), block), "word": pa.array(words, pa.string())})
@@ -454,12 +462,19 @@ class Dictionary:
         start = np.cumsum(size) - size
         order = np.argsort(h, kind="stable")
         self.hash, self.start, self.size = h[order], start[order], size[order]
+        # where the hashes of each beginning stand; the beginnings are more than the hashes, so few share one
+        bits = max(1, min(30, len(h).bit_length() + 1))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.hash, np.arange(1 << bits).astype(np.uint64) << self.shift)
+        self.until = np.append(self.hash, np.uint64(0xFFFFFFFFFFFFFFFF))
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hash):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return at, self.hash[at] == h
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        low = np.flatnonzero(self.until[at] < h)
+        while len(low):
+            at[low] += 1
+            low = low[self.until[at[low]] < h[low]]
+        return at, (self.until[at] == h) & (at < len(self.hash))
 
     def __call__(self, h: np.ndarray, spell: Callable[[int], list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids in order); spell(i) gives those of a word that is not listed."""

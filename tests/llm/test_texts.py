@@ -3,6 +3,7 @@
 import hashlib
 import random
 import secrets
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -12,12 +13,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomframe.llm import minhash, repeats
-from loomframe.llm.common import run_hash, wide_hashes
+from loomframe.llm.common import run_hash, shared_dir, wide_hashes
 from loomframe.llm.decontaminate import Windows, find_passages, op5_decontamination, remove_spans, word_hashes
 from loomframe.llm.fm_index import FMIndex
 from loomframe.llm.graph import components
 from loomframe.llm.minhash import drop_near_duplicates, near_duplicates, op3_minhash
-from loomframe.llm.pieces import MODEL, Pieces, best_path, decode, encode, merge_word, op2_sentencepiece, word_hash
+from loomframe.llm.pieces import MODEL, Cutter, Dictionary, Pieces, best_path, decode, encode, merge_word, op2_sentencepiece, word_hash
 from loomframe.llm.repeats import drop_repeats, op8_suffix_dedup, repeated_windows
 from loomframe.llm.suffix import suffix_order
 
@@ -240,6 +241,18 @@ def test_copies_without_an_id_are_asked_once(spark, tables):
     assert dict(written)["bytes"].count() < 20
 
 
+def test_only_spans_of_passages_stay(spark, tables, edge_documents, monkeypatch):
+    """The tables behind the spans are gone before the texts are shuffled again, and those hold a text once."""
+    docs = spark.read.parquet(f"{tables(documents=edge_documents)}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    folder, seen, without = Path(shared_dir(spark).removeprefix("file:")), [], repeats.without_repeats
+    monkeypatch.setattr(repeats, "without_repeats", lambda docs, *more, **named: seen.append(docs.schema) or without(docs, *more, **named))
+    before = set(folder.iterdir())
+    out = drop_repeats(spark, docs, "")
+    assert {p.name.split("-")[0] for p in set(folder.iterdir()) - before} == {"files", "spans"}
+    assert seen[0].simpleString().count("text:string") == 1
+    assert sum(r["text"] is None for r in out.collect()) == sum(r[1] is None for r in edge_documents)
+
+
 def test_long_texts_in_pieces(spark, tables, monkeypatch):
     rng = random.Random(6)
     p = "".join(rng.choice("abcdefgh") for _ in range(3000))
@@ -418,6 +431,32 @@ def test_viterbi_for_unigram_models(spark):
         assert abs(total(got[k]) - total(best_path(w, score, pieces.longest))) < 1e-9
 
 
+def test_words_are_hashed_by_their_bytes():
+    of = np.zeros(0x110000, np.int32)
+    of[[ord(c) for c in "abé漢😀"]] = 1
+    texts = ["abé a漢b", "", None, "😀a zb"]
+    joined, start, row, h = Cutter((of, np.array([[False, False], [False, True]])))(texts)
+    words = [joined[a:b] for a, b in zip(start[:-1], start[1:])]
+    assert words == ["▁", "abé", "▁", "a漢b", "▁", "😀a", "▁", "z", "b"] and row.tolist() == [0] * 4 + [3] * 5
+    want = [run_hash(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] for w in words]
+    assert h.tolist() == want and word_hash(words).tolist() == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 500])
+def test_dictionary_of_any_hashes(n):
+    rng = np.random.default_rng(n)
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    h = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, np.uint64), np.arange(n // 4).astype(np.uint64), most - np.arange(n // 3).astype(np.uint64)]))
+    rng.shuffle(h)
+    size = rng.integers(0, 4, len(h))
+    own = {int(x): [int(x) % 1000 + k for k in range(s)] for x, s in zip(h, size)}
+    words = Dictionary([(h, size, np.array([i for x in h for i in own[int(x)]], np.int32))])
+    asked = np.concatenate([h, [most, np.uint64(0), np.uint64(7)], rng.integers(0, 1 << 63, 5, np.uint64), h[:3]]).astype(np.uint64)
+    want = [own.get(int(x), [int(x) % 7, 5]) for x in asked]
+    count, ids = words(asked, lambda i: [int(asked[i]) % 7, 5])
+    assert count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_characters_that_are_no_piece_alone(spark):
     """b and the space occur in longer pieces only: what no merge takes up is unknown."""
     pieces = Pieces([("a", 1, -9.0), ("ab", 2, -1.0), ("▁a", 3, -2.0)], None, 0, "merge")
